@@ -3,9 +3,10 @@
 Two permutations make all signature coordinates: sigma scatters a document's shingles over a 32-bit circle, and
 coordinate k is the least value of pi over the shingles after the circle is turned by k. Bands of coordinates put
 documents in buckets. A bucket's members are first compared with its smallest member only; links found so far join
-members into components, and only buckets that still hold several components look further: small ones at the pairs
-between their components, large ones are split by the members' other bands and treated in the same way. Every link is
-confirmed on the two documents' whole shingle sets.
+members into components, and only buckets that still hold several components look further: all pairs between these are
+compared in place by a byte of many signature coordinates each, and those that agree well enough are candidates; buckets
+too large for one task are first split by the members' other bands. Every link is confirmed on the two documents' whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ U64, U32 = np.uint64, np.uint32
 SHINGLE = 5
 #: 48 bands of 5 coordinates: two sets of similarity 0.75 share no band with a probability of 2.3e-6.
 BANDS, ROWS = 48, 5
-#: Members up to which the pairs between a bucket's components are listed; larger buckets are split first.
-SMALL_BUCKET = 48
+#: Members up to which a bucket is looked through in one task (by 880 bytes a member); larger buckets are split first.
+SMALL_BUCKET = 4096
 #: A large bucket is split by each of so many bands that follow its last one, in a circle. Two documents of similarity
 #: 0.75 share one of 16 bands with a probability of 0.987, and about eleven buckets in which this can happen.
 SPLIT = 16
+#: Coordinates of which a byte each is kept, and how many of these agree at least: 4.5 deviations below similarity 0.75.
+BRIEF, AGREE = BANDS * ROWS, 150
+#: Bytes of an odd sketch: bit i tells whether an odd number of shingles have hash i. Two sketches differ in no more
+#: bits than the sets have shingles that are not shared, so too many bits rule a pair out for certain.
+ODD = 256
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, powers: Powers, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +106,72 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
         if len(sets):
             for s, seed in zip(sums, (0x1B873593, 0xCC9E2D51), strict=True):
                 s[some] = np.add.reduceat(mix(sets ^ U64(seed)), off[:-1][some])
-        keys = band_keys(signatures(sets, off, bands * rows), bands, rows).view(np.int64)
+        signature = signatures(sets, off, bands * rows)
+        keys = band_keys(signature, bands, rows).view(np.int64)
+        bits = (mix(sets ^ U64(0x2545F4914F6CDD1D)) % U64(8 * ODD)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(n)), n) * (8 * ODD) + bits, minlength=len(n) * 8 * ODD).astype(np.uint8) & 1
+        odd = np.packbits(odd).reshape(len(n), ODD)[some]
+        brief, at = np.concatenate([signature[:BRIEF].astype(np.uint8).T, odd], axis=1), np.cumsum(some) - 1
+        briefs = pa.array([brief[i].tobytes() if ok else None for i, ok in zip(at.tolist(), some.tolist(), strict=True)], pa.binary())
         flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)), pa.array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), flat], ["doc", "n", "f1", "f2", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), flat, briefs], ["doc", "n", "f1", "f2", "bands", "brief"])
+
+
+def _between(batches: Iterator[pa.RecordBatch], percent: int, once: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs between components of buckets that follow each other, sorted, of about one size and enough agreeing coordinates.
+
+    With `once`, buckets are those of single bands, and a pair comes from that of its first common band only.
+    """
+
+    def pairs(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        bucket, rep, n, component = (rows[c].to_numpy() for c in ("bucket", "rep", "n", "component"))
+        brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), dtype=np.uint8).reshape(len(rep), BRIEF + ODD)
+        brief, odd = brief[:, :BRIEF], np.ascontiguousarray(brief[:, BRIEF:]).view(U64)
+        band = rows["band"].to_numpy()
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        us, vs = [], []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for at in range(lo, hi, 64):
+                some = slice(at, min(at + 64, hi))
+                ok = component[some, None] != component[None, lo:hi]
+                ok &= rep[some, None] < rep[None, lo:hi]
+                ok &= 100 * np.minimum(n[some, None], n[None, lo:hi]) >= percent * np.maximum(n[some, None], n[None, lo:hi])
+                i, j = np.nonzero(ok)
+                for part in range(0, len(i), 1 << 14):
+                    x, y = i[part : part + (1 << 14)] + at, j[part : part + (1 << 14)] + lo
+                    apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+                    maybe = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+                    x, y = x[maybe], y[maybe]
+                    near = np.flatnonzero((brief[x] == brief[y]).sum(axis=1) >= AGREE)
+                    if once:
+                        near = near[~(bands[x[near], : band[lo]] == bands[y[near], : band[lo]]).any(axis=1)]
+                    us.append(rep[x[near]])
+                    vs.append(rep[y[near]])
+        return us, vs
+
+    held: list[pa.RecordBatch] = []
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if held:
+            rows = pa.Table.from_batches(held)
+            bucket = rows["bucket"].to_numpy()
+            other = np.flatnonzero(bucket != bucket[-1])
+            stop = len(bucket) if last else int(other[-1]) + 1 if len(other) else 0
+            held = rows.slice(stop).combine_chunks().to_batches() if stop < len(bucket) else []
+            if stop:
+                us, vs = pairs(rows.slice(0, stop))
+                if us:
+                    both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) > 10_000:
+            yield from flush(False)
+    yield from flush(True)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -171,14 +240,20 @@ class _Buckets:
         # A representative's text: rows that share its id may hold another text; all are compared.
         self.texts_of = materialize(self.texts.join(members, "doc", "left_semi").distinct(), "texts")
         self.add(self.stars(buckets))
+        first = True
         while True:
             rest = materialize(self.unsettled(buckets), "unsettled")
             if rest.isEmpty():
                 return self.labels
             listed = (F.col("members") <= SMALL_BUCKET) | (F.col("turn") >= BANDS - 1)
             few, large = rest.where(listed), rest.where(~listed)
-            a, b = (few.select("bucket", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "uv")
-            pairs = self.sized(a.join(b, "bucket").where("cu <> cv and u < v").select("u", "v", "nu", "nv"))
+            near = few.select("bucket", "rep", "n", "component", "band").join(self.reps.select("rep", "brief", "bands"), "rep")
+            percent, once = self.percent, first and large.isEmpty()
+            first = False
+            pairs = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _between(it, percent, once), "u long, v long").distinct()
+            if large.isEmpty():
+                self.add(pairs)
+                return self.labels
             # Large buckets: one more band in common, of those that follow.
             bands = self.reps.select("rep", "bands").join(large.select("rep").distinct(), "rep", "left_semi")
             turns = F.sequence(F.col("turn") + 1, F.least(F.col("turn") + SPLIT, F.lit(BANDS - 1)))
@@ -199,12 +274,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept. Other columns are ignored. Equal shingle sets are collapsed ahead of the search, so copies cost one row.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sketch = kept.mapInArrow(lambda it: _sketch(it, BANDS, ROWS), "doc long, n long, f1 long, f2 long, bands array<long>")
+    sketch = kept.mapInArrow(lambda it: _sketch(it, BANDS, ROWS), "doc long, n long, f1 long, f2 long, bands array<long>, brief binary")
     sketch = materialize(sketch, "sketch")
     sets = sketch.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"))
     sets = materialize(sets, "sets")
     key = ["f1", "f2", "n"]
-    reps = sketch.where("doc is not null").join(sets.withColumnRenamed("rep", "doc"), [*key, "doc"], "left_semi").select(F.col("doc").alias("rep"), "n", "bands")
+    reps = sketch.where("doc is not null").join(sets.withColumnRenamed("rep", "doc"), [*key, "doc"], "left_semi").select(F.col("doc").alias("rep"), "n", "bands", "brief")
     # One row an id and set, however often the row is repeated.
     reps = reps.dropDuplicates(["rep", "bands"])
     labels = _Buckets(reps, kept.where("doc is not null"), percent).run()
