@@ -245,6 +245,6 @@ class Compiler:
         plain = [i for i in items if i.literal and i.type != NULL and (i.text and x.text or i.number and x.number)]
         out = F.coalesce(x.col.isin([i.value for i in plain]), F.lit(False)) if plain else F.lit(False)
         for i in items:
-            if i not in plain:
+            if not any(i is p for p in plain):
                 out = out | compare("==", x, i)
         return Typed(out, BOOL)

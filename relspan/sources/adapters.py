@@ -25,8 +25,11 @@ def rows_to_df(spark: SparkSession, rows: list) -> DataFrame:
     if not isinstance(rows[0], dict):
         rows = [{"value": v} for v in rows]
     names = list(dict.fromkeys(k for r in rows for k in r))
-    plain = [Row(**{n: _struct(r.get(n)) for n in names}, __place=i) for i, r in enumerate(rows)]
-    return spark.createDataFrame(plain, samplingRatio=1.0)
+    known = [n for n in names if any(r.get(n) is not None for r in rows)]
+    plain = [Row(**{n: _struct(r.get(n)) for n in known}, __place=i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(plain, samplingRatio=1.0)
+    # A column of nulls only is one of texts.
+    return df.select(*[F.col(f"`{n}`") if n in known else F.lit(None).cast("string").alias(n) for n in names], "__place")
 
 
 def _struct(v: object) -> object:
