@@ -29,8 +29,10 @@ from relspan.llm._store import materialize
 from relspan.llm._text import U64, Powers, Rolling, flat_bytes, mix, slices
 
 GRAM = 128
-#: Members up to which a bucket is refined in one task: 2 MB of extents.
-BUCKET = 3000
+#: Members up to which a bucket is refined in one task: 11 MB of extents and 35 MB of hashes.
+BUCKET = 16_000
+#: Extents that are hashed at a time.
+ROWS = 2000
 TOP = U64(2**64 - 1)
 
 
@@ -173,21 +175,26 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         core = rows["core"].to_numpy()
         left, at = rows["left"].to_numpy(), rows["at"].to_numpy()
         x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-        data, start, end = _matrix(rows["extent"].to_pylist(), left, length)
-        h = _string_hashes(data, ahead, length, powers)
+        extents, group = rows["extent"].to_pylist(), mix(core.view(U64)) * U64(3)
+        keys, ok = np.zeros((len(core), window), dtype=U64), np.zeros((len(core), window), dtype=bool)
         first = window - 1 - ahead
-        ok = (first >= start[:, None]) & (first + length <= end[:, None]) & (ahead >= x[:, None]) & (ahead < y[:, None])
-        keys = mix(h + mix(core.view(U64))[:, None] * U64(3) + ahead.astype(U64))[ok]
-        order = np.argsort(keys)
-        ranked = keys[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(ranked), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        again = np.zeros(len(keys), dtype=bool)
-        again[order] = twice
+        for at_row in range(0, len(core), ROWS):
+            some = slice(at_row, at_row + ROWS)
+            data, start, end = _matrix(extents[some], left[some], length)
+            keys[some] = mix(_string_hashes(data, ahead, length, powers) + group[some, None] + ahead.astype(U64))
+            ok[some] = (first >= start[:, None]) & (first + length <= end[:, None]) & (ahead >= x[some, None]) & (ahead < y[some, None])
         found = np.zeros((len(core), window + 2), dtype=np.int8)
-        found[:, 1:-1][ok] = again
+        for lo in range(0, window, 32):
+            part = ok[:, lo : lo + 32]
+            own = keys[:, lo : lo + 32][part]
+            order = np.argsort(own)
+            same = own[order][1:] == own[order][:-1]
+            twice = np.zeros(len(own), dtype=bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            again = np.zeros(len(own), dtype=bool)
+            again[order] = twice
+            found[:, 1 + lo : 1 + lo + part.shape[1]][part] = again
         edge = np.diff(found, axis=1)
         r, lo = np.nonzero(edge == 1)  # from this many bytes ahead
         _, hi = np.nonzero(edge == -1)  # to one less than this many
