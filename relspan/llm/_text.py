@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +52,18 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again, and its next task may be of another kind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about `budget` bytes of text; one longer text is a run of its own."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + budget, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 class Powers:
