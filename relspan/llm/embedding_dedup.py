@@ -1,9 +1,13 @@
 """Near-duplicate vectors by a pivot-permutation index, verified by cosine in double precision.
 
-Pivots are a bounded sample of the vectors. A vector is described by its nearest pivots in order; an inverted list per
-pivot holds the vectors that have it among their first few. Two vectors that share at least MIN_SHARED of these pivots
+Pivots are a bounded sample of the vectors, spread: none is close to another, so a crowded group has one or few of them
+and its members meet in the same lists. A vector is described by its nearest pivots in order; an inverted list per
+pivot holds the vectors that have it among their first few. Two vectors that share one of these pivots
 are candidates, and are verified in the list of the smallest pivot they share, so each pair counts once. A list longer
 than a block is cut into blocks, and each pair of blocks is a task of its own.
+
+By the triangle inequality of angles, the nearest pivot of whatever links with a vector is no further from that vector
+than its own nearest pivot and twice the linking angle; lists of pivots beyond this are left out, which loses nothing.
 """
 
 from __future__ import annotations
@@ -22,10 +26,14 @@ from relspan.llm._store import materialize
 
 #: Pivots: about the root of the number of vectors, within these bounds (the most is 4096 vectors).
 PIVOTS_LEAST, PIVOTS_MOST = 64, 4096
-#: Lists that a vector stands in, and pivots that candidates share at least.
-NEAREST, MIN_SHARED = 5, 1
-#: Vectors in a block of a list.
-BLOCK = 2000
+#: Lists that a vector stands in.
+NEAREST = 5
+#: Cosine from which a pivot is too close to another.
+SPREAD = 0.8
+#: Vectors in a block of a list; in lists of over MANY blocks these grow, up to BLOCK_MOST vectors.
+BLOCK, MANY, BLOCK_MOST = 2000, 32, 16_000
+#: Pairs of vectors that are compared at a time.
+PAIRS = 1 << 22
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +52,23 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def _describe(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, nearest: int) -> Iterator[pa.RecordBatch]:
+def spread(sample: np.ndarray, count: int) -> np.ndarray:
+    """The first `count` unit vectors of the sample that are not close to one taken before."""
+    taken: list[int] = []
+    for at in range(0, len(sample), 512):
+        part = sample[at : at + 512]
+        free = (part @ sample[taken].T < SPREAD).all(axis=1)
+        far = part @ part.T < SPREAD
+        for i in range(len(part)):
+            if free[i]:
+                taken.append(at + i)
+                free &= far[i]
+    return sample[taken[:count]]
+
+
+def _describe(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, nearest: int, limit: float) -> Iterator[pa.RecordBatch]:
+    """Unit vectors and their lists, -1 where one is left out."""
+    reach = 2 * np.arccos(np.clip(limit, -1, 1)) + 1e-6
     for b in batches:
         if not b.num_rows:
             continue
@@ -56,7 +80,10 @@ def _describe(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, nearest: in
             continue
         unit, ok = unit_rows(b.column(2))
         unit = unit[ok]
-        near = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+        cosine = unit @ pivots.T
+        near = np.argsort(-cosine, axis=1, kind="stable")[:, :nearest].astype(np.int32)
+        angle = np.arccos(np.clip(np.take_along_axis(cosine, near, axis=1), -1, 1))
+        near[angle > angle[:, :1] + reach] = -1
         rows = pa.array(np.flatnonzero(ok))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.reshape(-1)))
         yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([x.tobytes() for x in unit], type=pa.binary()), lists], ["id", "copies", "unit", "near"])
@@ -86,21 +113,37 @@ def _compare(key: tuple, rows: pd.DataFrame, limit: float) -> pd.DataFrame:
     side = rows["block"].to_numpy() == b
     left = np.flatnonzero(~side) if a != b else np.arange(len(rows))
     right = np.flatnonzero(side)
-    i, j = np.nonzero(unit[left] @ unit[right].T >= limit)
-    i, j = left[i], right[j]
-    if a == b:
-        i, j = i[i < j], j[i < j]
-    # Pivots that both have; the pair counts in the list of the smallest one only.
-    same = near[i][:, :, None] == near[j][:, None, :]
-    both = same.any(axis=2)
-    least = np.where(both, near[i], np.iinfo(np.int32).max).min(axis=1) if len(i) else np.zeros(0)
-    ok = (both.sum(axis=1) >= MIN_SHARED) & (least == pivot) if len(i) else np.zeros(0, dtype=bool)
-    i, j = i[ok], j[ok]
-    links = np.zeros(len(rows), dtype=np.int64)
-    np.add.at(links, i, copies[j])
-    np.add.at(links, j, copies[i])
+    # Pivots that both have; the pair counts in the list of the smallest one only, so most rows of a pair need no look.
+    before = ((near >= 0) & (near < pivot)).any(axis=1)
+    links, root = np.zeros(len(rows)), np.arange(len(rows))
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        hits = unit[some] @ unit[right].T >= limit
+        if a == b:
+            hits &= some[:, None] < right
+        x, y = np.flatnonzero(before[some]), np.flatnonzero(before[right])
+        i, j = np.nonzero(hits[np.ix_(x, y)])
+        for part in range(0, len(i), PAIRS // 16):
+            u, v = x[i[part : part + PAIRS // 16]], y[j[part : part + PAIRS // 16]]
+            nu, nv = near[some[u]], near[right[v]]
+            both = ((nu[:, :, None] == nv[:, None, :]) & (nu >= 0)[:, :, None]).any(axis=2)
+            bad = (both & (nu < pivot)).any(axis=1)
+            hits[u[bad], v[bad]] = False
+        if not hits.any():
+            continue
+        number = hits.astype(np.float64)
+        links[some] += number @ copies[right]
+        links[right] += copies[some] @ number
+        while True:  # an edge a row and round is enough for the components
+            apart = hits & (root[some][:, None] != root[right])
+            x = np.flatnonzero(apart.any(axis=1))
+            if not len(x):
+                break
+            y = apart[x].argmax(axis=1)
+            root = _roots(len(rows), np.concatenate([np.arange(len(rows)), some[x]]), np.concatenate([root, right[y]]))
     hit = links > 0
-    return pd.DataFrame({"id": ids[hit], "links": links[hit], "root": ids[_roots(len(rows), i, j)[hit]]})
+    return pd.DataFrame({"id": ids[hit], "links": links[hit].astype(np.int64), "root": ids[root[hit]]})
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.95) -> DataFrame:
@@ -120,23 +163,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n = classes.count()
     count = min(PIVOTS_MOST, max(PIVOTS_LEAST, isqrt(n)))
     every = max(1, n // (4 * count))
-    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1)), "id").select("v").limit(count).collect() if n else []
+    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1)), "id").select("v").limit(4 * count).collect() if n else []
     if not sample:
         return vectors.select(F.col(id_col).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     lengths = [len(r.v) for r in sample]
     width = max(set(lengths), key=lambda x: (lengths.count(x), x))
     pivots, _ = unit_rows(pa.array([r.v for r in sample if len(r.v) == width]))
-    shared = spark.sparkContext.broadcast(pivots)
-    near = classes.select("id", "copies", "v").mapInArrow(lambda it: _describe(it, shared.value, NEAREST), "id long, copies long, unit binary, near array<int>")
+    shared = spark.sparkContext.broadcast(spread(pivots, count))
+    near = classes.select("id", "copies", "v").mapInArrow(lambda it: _describe(it, shared.value, NEAREST, limit), "id long, copies long, unit binary, near array<int>")
     near = materialize(near, "near")
 
-    lists = near.select("id", F.explode("near").alias("pivot")).groupBy("pivot").count().collect()  # a row a pivot
-    blocks = F.create_map(*[x for r in lists for x in (F.lit(r["pivot"]), F.lit(ceil(r["count"] / BLOCK)))]) if len(lists) <= 512 else None
-    listed = near.select("*", F.explode("near").alias("pivot"))
+    lists = near.select("id", F.explode("near").alias("pivot")).where("pivot >= 0").groupBy("pivot").count().collect()  # a row a pivot
+    parts = {r["pivot"]: max(min(ceil(r["count"] / BLOCK), MANY), ceil(r["count"] / BLOCK_MOST)) for r in lists}
+    blocks = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if len(lists) <= 512 else None
+    listed = near.select("*", F.explode("near").alias("pivot")).where("pivot >= 0")
     if blocks is not None:
         listed = listed.withColumn("blocks", blocks[F.col("pivot")])
     else:
-        table = spark.createDataFrame([(r["pivot"], ceil(r["count"] / BLOCK)) for r in lists], "pivot int, blocks int")
+        table = spark.createDataFrame(list(parts.items()), "pivot int, blocks int")
         listed = listed.join(F.broadcast(table), "pivot")  # at most PIVOTS_MOST rows
     listed = listed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

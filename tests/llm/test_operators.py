@@ -125,6 +125,26 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("count, block", [(63, 2000), (282, 200), (999, 2000)])
+def test_embeddings_of_a_crowded_group(spark, monkeypatch, count, block):
+    """A third of the vectors in one group whose members mostly link with each other, at several pivot counts."""
+    monkeypatch.setattr(embedding_dedup, "PIVOTS_LEAST", count)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    m = unit(rng.normal(size=(3000, 64)))
+    m[::3] = unit(m[0] + 0.21 * unit(rng.normal(size=(1000, 64))))
+    m[1:1500:3] = unit(m[1501::3] + 0.2 * unit(rng.normal(size=(500, 64))))
+    cosine = m @ m.T
+    links = (cosine >= 0.95).sum(axis=1) - 1
+    assert links[::3].mean() > 500 and abs(cosine - 0.95).min() > 1e-12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    found = np.array([got[i].n_links for i in range(len(m))])
+    assert (found <= links).all() and found[::3].sum() >= 0.9 * links[::3].sum() and found.sum() >= 0.9 * links.sum()
+    assert {got[i].component_id for i in np.flatnonzero(links) if i % 3 == 0} == {0}
+
+
 def test_shards(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(1, 60))) for i in range(1500)] + [(5000 + i, "same text " * 20) for i in range(700)] + [(None, None), (7, ""), (7, "")]
