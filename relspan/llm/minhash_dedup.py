@@ -5,8 +5,8 @@ coordinate k is the least value of pi over the shingles after the circle is turn
 documents in buckets. A bucket's members are first compared with its smallest member only; links found so far join
 members into components, and only buckets that still hold several components look further: all pairs between these are
 compared in place by a byte of many signature coordinates each, and those that agree well enough are candidates; buckets
-too large for one task are first split by the members' other bands. Every link is confirmed on the two documents' whole
-shingle sets.
+too large for one task are cut into blocks, and each pair of blocks is a cell that is compared alike. Every link is
+confirmed on the two documents' whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ U64, U32 = np.uint64, np.uint32
 SHINGLE = 5
 #: 48 bands of 5 coordinates: two sets of similarity 0.75 share no band with a probability of 2.3e-6.
 BANDS, ROWS = 48, 5
-#: Members up to which a bucket is looked through in one task (by 880 bytes a member); larger buckets are split first.
+#: Members up to which a bucket is one cell (by 880 bytes a member); larger ones are cut into blocks of half as many.
 SMALL_BUCKET = 4096
-#: A large bucket is split by each of so many bands that follow its last one, in a circle. Two documents of similarity
-#: 0.75 share one of 16 bands with a probability of 0.987, and about eleven buckets in which this can happen.
-SPLIT = 16
+#: In buckets of over MANY blocks these grow, up to BLOCK_MOST members.
+MANY, BLOCK_MOST = 16, 16_384
 #: Coordinates of which a byte each is kept, and how many of these agree at least: 4.5 deviations below similarity 0.75.
 BRIEF, AGREE = BANDS * ROWS, 150
 #: Bytes of an odd sketch: bit i tells whether an odd number of shingles have hash i. Two sketches differ in no more
@@ -117,35 +116,40 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), flat, briefs], ["doc", "n", "f1", "f2", "bands", "brief"])
 
 
-def _between(batches: Iterator[pa.RecordBatch], percent: int, once: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs between components of buckets that follow each other, sorted, of about one size and enough agreeing coordinates.
+def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs between components of cells that follow each other, sorted, of about one size and enough agreeing coordinates.
 
-    With `once`, buckets are those of single bands, and a pair comes from that of its first common band only.
+    A pair comes from the bucket of its first common band only. Of a cell of two blocks only pairs between these count.
     """
 
     def pairs(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
         bucket, rep, n, component = (rows[c].to_numpy() for c in ("bucket", "rep", "n", "component"))
+        block = rows["block"].to_numpy()
         brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), dtype=np.uint8).reshape(len(rep), BRIEF + ODD)
         brief, odd = brief[:, :BRIEF], np.ascontiguousarray(brief[:, BRIEF:]).view(U64)
+        few = np.ascontiguousarray(odd[:, : ODD // 32])
         band = rows["band"].to_numpy()
         bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
         edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         us, vs = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            two = block[lo:hi].min() < block[lo:hi].max()
             for at in range(lo, hi, 64):
                 some = slice(at, min(at + 64, hi))
                 ok = component[some, None] != component[None, lo:hi]
                 ok &= rep[some, None] < rep[None, lo:hi]
                 ok &= 100 * np.minimum(n[some, None], n[None, lo:hi]) >= percent * np.maximum(n[some, None], n[None, lo:hi])
+                if two:
+                    ok &= block[some, None] != block[None, lo:hi]
                 i, j = np.nonzero(ok)
                 for part in range(0, len(i), 1 << 14):
                     x, y = i[part : part + (1 << 14)] + at, j[part : part + (1 << 14)] + lo
-                    apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
-                    maybe = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
-                    x, y = x[maybe], y[maybe]
+                    for bits in (few, odd):  # the first of the bits alone rule most pairs out
+                        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                        maybe = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+                        x, y = x[maybe], y[maybe]
                     near = np.flatnonzero((brief[x] == brief[y]).sum(axis=1) >= AGREE)
-                    if once:
-                        near = near[~(bands[x[near], : band[lo]] == bands[y[near], : band[lo]]).any(axis=1)]
+                    near = near[~(bands[x[near], : band[lo]] == bands[y[near], : band[lo]]).any(axis=1)]
                     us.append(rep[x[near]])
                     vs.append(rep[y[near]])
         return us, vs
@@ -233,35 +237,25 @@ class _Buckets:
 
     def run(self) -> DataFrame:
         """(node, component) of all representatives that are linked."""
-        rows = self.reps.select("rep", "n", F.posexplode("bands")).select("rep", "n", F.col("pos").alias("band"), F.lit(0).alias("turn"), F.xxhash64("pos", "col").alias("bucket"))
+        rows = self.reps.select("rep", "n", F.posexplode("bands")).select("rep", "n", F.col("pos").alias("band"), F.xxhash64("pos", "col").alias("bucket"))
         shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
         buckets = materialize(rows.join(shared, "bucket", "left_semi"), "buckets")
         members = buckets.select("rep").distinct().withColumnRenamed("rep", "doc")
         # A representative's text: rows that share its id may hold another text; all are compared.
         self.texts_of = materialize(self.texts.join(members, "doc", "left_semi").distinct(), "texts")
         self.add(self.stars(buckets))
-        first = True
-        while True:
-            rest = materialize(self.unsettled(buckets), "unsettled")
-            if rest.isEmpty():
-                return self.labels
-            listed = (F.col("members") <= SMALL_BUCKET) | (F.col("turn") >= BANDS - 1)
-            few, large = rest.where(listed), rest.where(~listed)
-            near = few.select("bucket", "rep", "n", "component", "band").join(self.reps.select("rep", "brief", "bands"), "rep")
-            percent, once = self.percent, first and large.isEmpty()
-            first = False
-            pairs = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _between(it, percent, once), "u long, v long").distinct()
-            if large.isEmpty():
-                self.add(pairs)
-                return self.labels
-            # Large buckets: one more band in common, of those that follow.
-            bands = self.reps.select("rep", "bands").join(large.select("rep").distinct(), "rep", "left_semi")
-            turns = F.sequence(F.col("turn") + 1, F.least(F.col("turn") + SPLIT, F.lit(BANDS - 1)))
-            split = large.select("bucket", "rep", "n", "band", F.explode(turns).alias("turn")).join(bands, "rep")
-            split = split.withColumn("bucket", F.xxhash64("bucket", "turn", F.expr(f"bands[(band + turn) % {BANDS}]"))).drop("bands")
-            shared = split.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-            buckets = materialize(split.join(shared, "bucket", "left_semi"), "buckets")
-            self.add(pairs.union(self.stars(buckets)).distinct())
+        rest = materialize(self.unsettled(buckets), "unsettled")
+        if rest.isEmpty():
+            return self.labels
+        half = max(1, SMALL_BUCKET // 2)
+        blocks = F.when(F.col("members") <= SMALL_BUCKET, F.lit(1)).otherwise(F.greatest(F.least(F.ceil(F.col("members") / half), F.lit(MANY)), F.ceil(F.col("members") / BLOCK_MOST)))
+        cut = rest.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cell = F.when(F.col("blocks") > 1, F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("bucket"))
+        near = cut.select(cell.alias("bucket"), "rep", "n", "component", "band", "block").join(self.reps.select("rep", "brief", "bands"), "rep")
+        percent = self.percent
+        self.add(near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _between(it, percent), "u long, v long").distinct())
+        return self.labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:

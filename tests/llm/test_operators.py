@@ -105,6 +105,25 @@ def test_minhash(spark, monkeypatch, bucket):
     assert minhash_dedup.near_duplicates(table(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("bucket, most", [(3, 16_384), (20, 16_384), (2, 1), (4096, 16_384)])
+def test_minhash_pairs_of_one_common_band(spark, monkeypatch, bucket, most):
+    """Pairs that share one bucket only are found there, however large it is."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash_dedup, "SMALL_BUCKET", bucket)
+    monkeypatch.setattr(minhash_dedup, "MANY", 5, raising=False)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_MOST", most, raising=False)
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(20)]
+    texts += [t + " one more" for t in texts[5:]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc", "text"])
+    rows = pa.Table.from_batches(minhash_dedup._sketch(iter([batch]), minhash_dedup.BANDS, minhash_dedup.ROWS)).to_pylist()
+    reps = [(r["doc"], r["n"], [7 if b == 30 else 100 * b + r["doc"] for b in range(minhash_dedup.BANDS)], r["brief"]) for r in rows]
+    reps = spark.createDataFrame(reps, "rep long, n long, bands array<long>, brief binary")
+    labels = minhash_dedup._Buckets(reps, spark.createDataFrame(list(enumerate(texts)), "doc long, text string"), 75).run()
+    assert {(r.node, r.component) for r in labels.collect()} == {(i, j) for j in range(5, 20) for i in (j, j + 15)}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     rows = []
