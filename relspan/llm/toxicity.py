@@ -1,14 +1,15 @@
 """Toxicity by two class-conditional Kneser-Ney language models of words.
 
 Counts are continuation counts: for each class the number of different training documents that a word occurs in, so a
-document that repeats itself counts once. They cover every labelled training document, in hashed tables of fixed size;
-tasks fill their own tables, which are summed slab by slab. A class's model takes a discount off each count and gives
+document that repeats itself counts once. They cover every labelled training document, by whole 64-bit word hashes in a
+grouped table. A class's model takes a discount off each count and gives
 what it took to the backoff: the counts that both classes share. The discount grows with the count that chance explains
 (the class's part of the shared count, and some of its deviations), so that rare expressions have their probability
 from the shared backoff in both models and tell nothing, and only words well over their share do. How many deviations
 are taken off, and whether a document's log-likelihoods are normalised by its words or by their root, is chosen by the
 training documents that set the logistic function: the score is this function of the two normalised log-likelihoods'
-difference.
+difference. Of the model only the words over their share are kept, since all others have one common ratio; scoring has
+them as a broadcast or, if they are many, by a join.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspan.llm._store import materialize, small
-from relspan.llm._text import U64, WORD_BYTE, Powers, flat_bytes, slices, words
+from relspan.llm._text import WORD_BYTE, Powers, flat_bytes, slices, words
 from relspan.llm.quality import held_out
 
-WORD_BITS = 18
-SLAB = 1 << 12
+#: Words over their share up to which these are broadcast (24 bytes a word).
+BROADCAST_WORDS = 1 << 20
+#: Words that a task counts before it hands them on.
+HELD = 1 << 20
 #: Least discount of a count; deviations taken off besides, to choose from; powers of the number of words, likewise.
 DISCOUNT, STRICT, POWER = 1.0, (2.0, 3.0, 4.0, 6.0), (1.0, 0.5)
 #: Cells of the calibration's histograms either side of 0, and their widths by power.
@@ -34,62 +37,96 @@ CELLS, WIDTH = 4000, (0.001, 0.02)
 
 
 def tokens(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Word slots of all texts, and first words."""
+    """Word hashes of all texts, and first words."""
     h, _, _, first = words(data, off, WORD_BYTE, powers)
-    return (h >> U64(64 - WORD_BITS)).astype(np.int64), first
+    return h.view(np.int64), first
+
+
+def _once(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and their different words, how often each occurs, and the texts' numbers of words."""
+    w, first = tokens(data, off, powers)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((w, doc))
+    doc, w = doc[order], w[order]
+    new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]) if len(w) else np.zeros(0, np.int64)
+    return doc[new], w[new], np.diff(np.r_[new, len(w)]), np.diff(first)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A table of rows (text, toxic): in how many texts of each class a word occurs. Slabs that are not empty, as bytes."""
-    powers = Powers()
-    word = np.zeros((2, 1 << WORD_BITS), dtype=np.int64)
-    for b in slices(batches, "text"):
-        toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        w, first = tokens(*flat_bytes(b.column(0)), powers)
-        once = np.unique(np.repeat(np.arange(len(toxic)), np.diff(first)) << WORD_BITS | w)
-        keys, n = np.unique(toxic[once >> WORD_BITS] << WORD_BITS | once & (1 << WORD_BITS) - 1, return_counts=True)
-        word.reshape(-1)[keys] += n
-    slabs = [i for i in range(0, word.shape[1], SLAB) if word[:, i : i + SLAB].any()]
-    yield pa.RecordBatch.from_arrays([pa.array([i // SLAB for i in slabs], pa.int32()), pa.array([word[:, i : i + SLAB].tobytes() for i in slabs], pa.binary())], ["slab", "data"])
+    """Rows (word, ordinary, toxic): in how many texts of each class a word occurs, of rows (text, toxic)."""
+    powers, held = Powers(), []
 
+    def merged() -> pa.RecordBatch:
+        w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, at = np.unique(w, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(word), *(pa.array(np.bincount(at, n[:, c], len(word)).astype(np.int64)) for c in (0, 1))], ["word", "ordinary", "toxic"])
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sum of tables of one slab."""
-    total = np.zeros(2 * SLAB, dtype=np.int64)
-    for x in rows["data"]:
-        total += np.frombuffer(x, dtype=np.int64)
-    return pd.DataFrame({"slab": [rows["slab"].iloc[0]], "data": [total.tobytes()]})
+    for b in slices(batches, "text"):
+        toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc, w, _, _ = _once(*flat_bytes(b.column(0)), powers)
+        word, at = np.unique(w, return_inverse=True)
+        held.append((word, np.bincount(2 * at + toxic[doc], minlength=2 * len(word)).reshape(-1, 2)))
+        if sum(len(x) for x, _ in held) > HELD:
+            yield merged()
+            held = []
+    if held:
+        yield merged()
+
+
+def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, n, words, times) of rows (row, text)."""
+    powers = Powers()
+    for b in slices(batches, "text"):
+        doc, w, times, n = _once(*flat_bytes(b.column(1)), powers)
+        ends = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (w, times))], ["row", "n", "words", "times"])
+
+
+def model(counts: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Of (word, ordinary, toxic): the words over their share with their log-likelihood ratios (toxic to ordinary, for each
+    strictness) less that of all other words, and the latter."""
+    t = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.count("*")).first()
+    total, seen = [float(t[0] or 0), float(t[1] or 0)], t[2]
+    names = [f"r{i}" for i in range(len(STRICT))]
+    if not all(total):
+        return counts.limit(0).select("word", *[F.lit(0.0).alias(r) for r in names]), [0.0] * len(STRICT)
+    both = F.col("ordinary") + F.col("toxic")
+    shared = (both + 0.01) / (sum(total) + 0.01 * (seen + 1))  # words never seen share what one hundredth of a count is
+    over = []
+    for z in STRICT:
+        chance = [both * (n / sum(total)) for n in total]
+        over.append([F.greatest(F.col(c) - e - F.sqrt(e) * z - DISCOUNT, F.lit(0.0)) for c, e in zip(("ordinary", "toxic"), chance, strict=True)])
+    some = materialize(counts.where((over[0][0] > 0) | (over[0][1] > 0)), "over")  # none is over a stricter share only
+    taken = some.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for pair in over for x in pair]).first()
+    ratios, rest = [], []
+    for i, pair in enumerate(over):
+        spare = [1 - taken[2 * i + c] / total[c] for c in (0, 1)]
+        rest.append(float(np.log(spare[1] / spare[0])))
+        ratios.append((F.log((pair[1] / total[1] + shared * spare[1]) / (pair[0] / total[0] + shared * spare[0])) - rest[i]).alias(names[i]))
+    return some.select("word", *ratios), rest
 
 
 class Models:
-    """The log-likelihood ratio of each word slot, toxic to ordinary, for each strictness."""
-
-    def __init__(self, slabs: list) -> None:
-        word = np.zeros((2, 1 << WORD_BITS), dtype=np.int64)
-        for slab, data in slabs:
-            word[:, slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(data, dtype=np.int64).reshape(2, -1)
-        total = word.sum(axis=1, keepdims=True)
-        self.ratio = np.zeros((len(STRICT), 1 << WORD_BITS), dtype=np.float32)
-        if not total.all():
-            return
-        both = word.sum(axis=0)
-        chance = total * (both / total.sum())
-        shared = (both + 0.01) / (both + 0.01).sum()  # words never seen share what one hundredth of a count is
-        for i, z in enumerate(STRICT):
-            over = np.maximum(word - chance - z * np.sqrt(chance) - DISCOUNT, 0)
-            spare = 1 - over.sum(axis=1, keepdims=True) / total
-            model = over / total + spare * shared
-            self.ratio[i] = np.log(model[1] / model[0])
+    """The log-likelihood ratio of words, toxic to ordinary, for each strictness: of those over their share, and of the rest."""
+
+    def __init__(self, found: pa.Table, rest: list[float]) -> None:
+        word = found["word"].to_numpy()
+        order = np.argsort(word)
+        self.word, self.rest = word[order], rest
+        self.ratio = [found[f"r{i}"].to_numpy().astype(np.float32)[order] for i in range(len(rest))]
 
     def compare(self, data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
         """Each text's mean ratio a word, for each strictness (columns), and its number of words; 0 without words."""
         w, first = tokens(data, off, powers)
         n = np.diff(first)
         out = np.zeros((len(n), len(STRICT)))
-        if len(w):
-            some = n > 0
+        out[n > 0] = self.rest
+        if len(w) and len(self.word):
+            at = np.minimum(np.searchsorted(self.word, w), len(self.word) - 1)
+            hit = np.flatnonzero(self.word[at] == w)
+            doc = np.searchsorted(first, hit, side="right") - 1
             for i, table in enumerate(self.ratio):
-                out[some, i] = np.add.reduceat(table[w].astype(np.float64), first[:-1][some]) / n[some]
+                out[:, i] += np.bincount(doc, table[at[hit]].astype(np.float64), len(n)) / np.maximum(n, 1)
         return out, n
 
 
@@ -131,10 +168,12 @@ class Toxicity:
         own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y"))
         self.labels = small(materialize(own, "labels"))
         taught = kept.where(self.training & ~self.tuning).join(self.labels, "id").select("text", F.col("y").alias("toxic"))
-        parts = taught.mapInArrow(_count, "slab int, data binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-        merged = parts.groupBy("slab", "part").applyInPandas(_merge, "slab int, data binary").groupBy("slab").applyInPandas(_merge, "slab int, data binary")
-        slabs = merged.collect()  # at most as many as the table has
-        self.models = docs.sparkSession.sparkContext.broadcast(Models([(r["slab"], bytes(r["data"])) for r in slabs]))
+        counts = taught.mapInArrow(_count, "word long, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+        found, self.rest = model(materialize(counts, "counts"))
+        self.found = materialize(found, "model")
+        self.models = None
+        if self.found.count() <= BROADCAST_WORDS:
+            self.models = docs.sparkSession.sparkContext.broadcast(Models(self.found.toArrow(), self.rest))
 
     def _kept(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.names[0]).cast("long").alias("id"), F.col(self.names[1]).cast("string").alias("text"))
@@ -142,6 +181,8 @@ class Toxicity:
     def compare(self, docs: DataFrame) -> DataFrame:
         """(id, n, ratios) of each row."""
         models, ratios = self.models, self.ratios
+        if models is None:
+            return self._joined(docs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             powers = Powers()
@@ -151,6 +192,15 @@ class Toxicity:
 
         return docs.mapInArrow(run, f"id long, n long, {', '.join(f'{r} double' for r in ratios)}")
 
+    def _joined(self, docs: DataFrame) -> DataFrame:
+        """compare() by a join of the texts' words with the model."""
+        keyed = materialize(docs.select("id", "text", F.monotonically_increasing_id().alias("row")), "keyed")
+        words = keyed.select("row", "text").mapInArrow(_occurring, "row long, n long, words array<long>, times array<long>")
+        hits = words.select("row", "n", F.explode_outer(F.arrays_zip("words", "times")).alias("x")).select("row", "n", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+        sums = hits.join(self.found, "word", "left").groupBy("row").agg(F.first("n").alias("n"), *[F.sum(F.col(r) * F.col("times")).alias(r) for r in self.ratios])
+        means = [F.when(F.col("n") > 0, F.coalesce(F.col(r), F.lit(0.0)) / F.col("n") + x).otherwise(0.0).alias(r) for r, x in zip(self.ratios, self.rest, strict=True)]
+        return keyed.select("id", "row").join(sums, "row").select("id", "n", *means)
+
     def tune(self, rows: DataFrame) -> None:
         """Choose strictness and power, and fit the logistic function, on the tuning rows among `rows`."""
         ways = [(i, j) for i in range(len(STRICT)) for j in range(len(POWER))]
@@ -208,4 +258,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs, as they are, whose score (see score_toxicity) is below `limit`."""
     learned = Toxicity(docs, labels, id_col, text_col, label_col, mod, rest, tune)
     learned.tune(learned.compare(learned._kept(docs).where(learned.tuning).join(learned.labels.select("id"), "id", "left_semi")))
-    return docs.where(learned.score_text(F.col(text_col).cast("string")) < limit)
+    if learned.models is not None:
+        return docs.where(learned.score_text(F.col(text_col).cast("string")) < limit)
+    keyed = materialize(docs.select(F.struct("*").alias("rest"), F.monotonically_increasing_id().alias("id")), "docs")
+    clean = learned.compare(keyed.select("id", F.col("rest")[text_col].cast("string").alias("text"))).where(learned.score() < limit)
+    return keyed.join(clean.select("id"), "id").select("rest.*")

@@ -247,6 +247,20 @@ def test_classifiers(spark, score, label, good):
     assert score(table(spark, []), labels).collect() == []
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_toxicity_of_a_large_vocabulary(spark, monkeypatch, broadcast):
+    """A toxic word tells in its own right, however many other words there are; few or many words over their share."""
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", broadcast, raising=False)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"v{rng.randrange(10**9)}" for _ in range(1000)) + (f" bad{i % 75}" if i % 10 == 0 else "")) for i in range(1500)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, labels).collect()
+    held = [r for r in out if r.held_out]
+    assert sum(r.predicted for r in held) > 10 and all(r.predicted == (r.doc_id % 10 == 0) for r in held)
+    stay = toxicity.drop_toxic(docs, labels)
+    assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == {r.doc_id for r in out if not r.predicted}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
