@@ -28,9 +28,12 @@ def sign_code(vector: Column) -> Column:
 
 
 def segment_count(codes: int) -> int:
-    """Segments of about log2(codes) bits, so that a list holds a few codes: a divisor of 64, from 2 to 16."""
+    """Segments of about log2(codes) bits, so that a list holds a few codes: a divisor of 64, from 4 to 16.
+
+    Two segments of 32 bits would need up to 601,080,390 masks of one radius; four need 12,870 at most.
+    """
     want = BITS / max(4.0, log2(max(2, codes)))
-    return min((2, 4, 8, 16), key=lambda m: (abs(m - want), m))
+    return min((4, 8, 16), key=lambda m: (abs(m - want), m))
 
 
 def _smallest(base: DataFrame, n: int) -> DataFrame:
@@ -75,14 +78,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
     wanted = materialize(wanted, "queries")
     active, best, done = wanted, None, None
-    flips_at = [[sum(1 << b for b in bits) for bits in combinations(range(width), r)] for r in range(width + 1)]
     for r in range(width + 1):
-        flips = F.explode(F.array(*[F.lit(x).cast("long") for x in flips_at[r]])) if len(flips_at[r]) <= 256 else None
+        masks_at = [sum(1 << b for b in bits) for bits in combinations(range(width), r)]
+        flips = F.explode(F.array(*[F.lit(x).cast("long") for x in masks_at])) if len(masks_at) <= 256 else None
         probes = active.select("query_id", "q", F.posexplode(F.array(*[segment("q", i) for i in range(m)])).alias("seg", "own"))
         if flips is not None:
             probes = probes.withColumn("flip", flips)
         else:
-            masks = rows.sparkSession.createDataFrame([(x,) for x in flips_at[r]], "flip long")
+            masks = rows.sparkSession.createDataFrame([(x,) for x in masks_at], "flip long")
             probes = probes.join(F.broadcast(masks))  # fixed by the width: all masks of r bits
         probes = probes.select("query_id", "q", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
         near = F.slice(

@@ -196,6 +196,18 @@ def test_hamming(spark):
             assert sorted(got[q]) == want
 
 
+def test_hamming_of_many_codes(spark, monkeypatch):
+    """The segments for many codes are no wider than all masks of a radius allow; the search ends at its radius."""
+    count = hamming_topk.segment_count
+    assert all(64 // count(n) <= 16 and 64 % count(n) == 0 for n in (0, 1, 80_000, 2_640_000, 4_700_000, 10**9, 10**12))
+    monkeypatch.setattr(hamming_topk, "segment_count", lambda n: count(4_700_000))
+    codes = [(i, i * 0x0123456789ABCDEF % 2**63) for i in range(60)]
+    df = spark.createDataFrame(codes, "vec_id long, code long")
+    got = [(r["rank"], r.neighbor_id, r.distance) for r in hamming_topk.search(df, df.where("vec_id = 7"), 5).collect()]
+    near = sorted(((c ^ codes[7][1]).bit_count(), i) for i, c in codes if i != 7)[:5]
+    assert sorted(got) == [(n + 1, i, d) for n, (d, i) in enumerate(near)]
+
+
 ODD = ["I'll  can't\n\n x", "''s 's'S", "a b c  ", "١٢3½ é é", "漢字🙂🙂", "", None, "x" * 700, "<|endoftext|> a", "\t \x85\x1c  don't", "ΑΣ İ"]
 
 
