@@ -51,6 +51,15 @@ def _top(met: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "distance", "id", "rank")
 
 
+def _nearest(hits: Column, k: int, several: bool) -> Column:
+    """The best of a list's (distance, id), sorted: k ids that are not the query's, whatever else of theirs is in it."""
+    if not several:  # the query's id is there once at most
+        return F.slice(hits, 1, k + 1)
+    hits = F.filter(hits, lambda x: x["id"] != F.col("query_id"))
+    none = F.slice(hits, 1, 0)
+    return F.aggregate(hits, none, lambda top, x: F.when((F.size(top) >= k) | F.exists(top, lambda y: y["id"] == x["id"]), top).otherwise(F.concat(top, F.array(x))))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code") -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k rows of least Hamming distance of each query, itself left out.
 
@@ -66,6 +75,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     kept = _smallest(base, k + 1)
     kept = materialize(kept, "codes")
     total = kept.count()
+    several = not kept.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").isEmpty()
     m = segment_count(total)
     width = BITS // m
     mask = (1 << width) - 1
@@ -88,9 +98,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
             masks = rows.sparkSession.createDataFrame([(x,) for x in masks_at], "flip long")
             probes = probes.join(F.broadcast(masks))  # fixed by the width: all masks of r bits
         probes = probes.select("query_id", "q", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
-        near = F.slice(
-            F.array_sort(F.flatten(F.transform("list", lambda x: F.transform(x["ids"], lambda i: F.struct(F.bit_count(x["code"].bitwiseXOR(F.col("q"))).cast("int").alias("distance"), i.alias("id")))))), 1, k + 1
-        )
+        hits = F.array_sort(F.flatten(F.transform("list", lambda x: F.transform(x["ids"], lambda i: F.struct(F.bit_count(x["code"].bitwiseXOR(F.col("q"))).cast("int").alias("distance"), i.alias("id"))))))
+        near = _nearest(hits, k, several)
         met = probes.join(index, ["seg", "val"]).select("query_id", F.explode(near).alias("hit")).select("query_id", "hit.*").where("id <> query_id")
         if best is not None:
             met = met.unionByName(best.select("query_id", "distance", "id"))

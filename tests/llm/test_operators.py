@@ -208,6 +208,15 @@ def test_hamming_of_many_codes(spark, monkeypatch):
     assert sorted(got) == [(n + 1, i, d) for n, (d, i) in enumerate(near)]
 
 
+def test_hamming_of_ids_with_many_codes(spark):
+    """Codes of the query's own id, or of one neighbour's, fill each list that holds the last neighbour."""
+    crowd = [0, 7, 7 << 4, *(7 | 16 << b for b in range(4)), *(7 << 4 | 1 << b for b in range(4))]
+    for other in (1, 2):
+        df = spark.createDataFrame([(1, 0), *((other, c) for c in crowd), (9, 7 | 7 << 4)], "vec_id long, code long")
+        got = [(r["rank"], r.neighbor_id, r.distance) for r in hamming_topk.search(df, df.where("vec_id = 1 and code = 0"), 3).collect()]
+        assert sorted(got) == ([(1, 9, 6)] if other == 1 else [(1, 2, 0), (2, 9, 6)])
+
+
 ODD = ["I'll  can't\n\n x", "''s 's'S", "a b c  ", "١٢3½ é é", "漢字🙂🙂", "", None, "x" * 700, "<|endoftext|> a", "\t \x85\x1c  don't", "ΑΣ İ"]
 
 
