@@ -1,7 +1,7 @@
 """Toxicity by two class-conditional Kneser-Ney language models of words.
 
 Counts are continuation counts: for each class the number of different training documents that a word occurs in, so a
-document that repeats itself counts once. They cover every labelled training document, by whole 64-bit word hashes in a
+document that repeats itself counts once. They cover the labelled training documents but those that set the logistic function, by whole 64-bit word hashes in a
 grouped table. A class's model takes a discount off each count and gives
 what it took to the backoff: the counts that both classes share. The discount grows with the count that chance explains
 (the class's part of the shared count, and some of its deviations), so that rare expressions have their probability
