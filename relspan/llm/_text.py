@@ -61,8 +61,8 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about `budget` bytes of text; one longer text is a run of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 512 << 10, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of at most `rows` rows with about `budget` bytes of text; one longer text is a run of its own."""
     give_back()
     for batch in batches:
         if not batch.num_rows:
@@ -70,37 +70,60 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20
         _, off = flat_bytes(batch.column(batch.schema.get_field_index(column)))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + budget, side="right")) - 1)
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + budget, side="right")) - 1))
             yield batch.slice(lo, hi - lo)
             lo = hi
     give_back()
 
 
+#: A second modulus, 2**31 - 1: strings that collide modulo 2**64 for any base, such as Thue-Morse ones, differ here.
+PRIME = 2**31 - 1
+BASE31 = 0x2545F491
+CODE31 = (BYTE_CODE >> U64(34)) + U64(1)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number (of 32 bits, for 62) that is the same modulo PRIME."""
+    return (x & U64(PRIME)) + (x >> U64(31))
+
+
+def _residues(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n."""
+    out = np.ones(1, dtype=U64)
+    while len(out) < n:
+        out = np.concatenate([out, out * U64(pow(base, len(out), PRIME)) % U64(PRIME)])
+    return out[:n]
+
+
 class Powers:
-    """BASE**i and BASE**-i, grown on demand."""
+    """Powers of both bases and of their inverses, grown on demand."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=U64)
+        self.up = self.down = self.up31 = self.down31 = np.ones(1, dtype=U64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up), 1 << 16)
             self.up, self.down = (np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, b, dtype=U64))]) for b in (BASE, INVERSE))
-        return self.up[:n], self.down[:n]
+            self.up31, self.down31 = (_residues(b, n).astype(np.uint32) for b in (BASE31, pow(BASE31, -1, PRIME)))
 
 
 class Rolling:
-    """Hashes of any substrings of one byte array in constant time each."""
+    """Hashes of any substrings of one byte array in constant time each: of their polynomials modulo 2**64 and PRIME."""
 
     def __init__(self, data: np.ndarray, powers: Powers) -> None:
-        up, self.down = powers.get(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=self.sums[1:])
+        n = len(data)
+        powers.grow(n + 1)
+        self.down, self.down31 = powers.down, powers.down31
+        self.sums, self.sums31 = np.zeros(n + 1, dtype=U64), np.zeros(n + 1, dtype=U64)
+        np.cumsum(BYTE_CODE[data] * powers.up[:n], out=self.sums[1:])
+        np.cumsum(_fold(CODE31[data] * powers.up31[:n]), out=self.sums31[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of data[start:end]; equal bytes hash equally wherever they stand."""
         h = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        r = (self.sums31[end] - self.sums31[start]) % U64(PRIME) * self.down31[start] % U64(PRIME)
+        return mix((h ^ mix(r)) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from relspan.llm._graph import components
 from relspan.llm._store import materialize
-from relspan.llm._text import NOT_SPACE, Powers, flat_bytes, mix, slices, words
+from relspan.llm._text import NOT_SPACE, Powers, flat_bytes, give_back, mix, slices, words
 
 U64, U32 = np.uint64, np.uint32
 SHINGLE = 5
@@ -95,6 +95,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _parities(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Odd sketches (rows) of sets end to end whose members have the given bits."""
+    count = np.bincount(np.repeat(np.arange(len(sizes)) * (8 * ODD), sizes) + bits, minlength=len(sizes) * 8 * ODD)
+    return np.packbits((count & 1).astype(np.uint8)).reshape(len(sizes), ODD)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for b in slices(batches, "text"):
@@ -108,21 +114,20 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
         signature = signatures(sets, off, bands * rows)
         keys = band_keys(signature, bands, rows).view(np.int64)
         bits = (mix(sets ^ U64(0x2545F4914F6CDD1D)) % U64(8 * ODD)).astype(np.int64)
-        odd = np.bincount(np.repeat(np.arange(len(n)), n) * (8 * ODD) + bits, minlength=len(n) * 8 * ODD).astype(np.uint8) & 1
-        odd = np.packbits(odd).reshape(len(n), ODD)[some]
+        odd = np.concatenate([_parities(bits[off[at] : off[min(at + 64, len(n))]], n[at : at + 64]) for at in range(0, len(n), 64)])[some]
         brief, at = np.concatenate([signature[:BRIEF].astype(np.uint8).T, odd], axis=1), np.cumsum(some) - 1
         briefs = pa.array([brief[i].tobytes() if ok else None for i, ok in zip(at.tolist(), some.tolist(), strict=True)], pa.binary())
         flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)), pa.array(keys.reshape(-1)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), flat, briefs], ["doc", "n", "f1", "f2", "bands", "brief"])
 
 
-def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _between(batches: Iterator[pa.RecordBatch], percent: int, agree: int) -> Iterator[pa.RecordBatch]:
     """Pairs between components of cells that follow each other, sorted, of about one size and enough agreeing coordinates.
 
     A pair comes from the bucket of its first common band only. Of a cell of two blocks only pairs between these count.
     """
 
-    def pairs(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, rep, n, component = (rows[c].to_numpy() for c in ("bucket", "rep", "n", "component"))
         block = rows["block"].to_numpy()
         brief = np.frombuffer(b"".join(rows["brief"].to_pylist()), dtype=np.uint8).reshape(len(rep), BRIEF + ODD)
@@ -131,7 +136,6 @@ def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         band = rows["band"].to_numpy()
         bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
         edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        us, vs = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             two = block[lo:hi].min() < block[lo:hi].max()
             for at in range(lo, hi, 64):
@@ -142,17 +146,18 @@ def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 if two:
                     ok &= block[some, None] != block[None, lo:hi]
                 i, j = np.nonzero(ok)
-                for part in range(0, len(i), 1 << 14):
-                    x, y = i[part : part + (1 << 14)] + at, j[part : part + (1 << 14)] + lo
+                for part in range(0, len(i), 1 << 13):
+                    x, y = i[part : part + (1 << 13)] + at, j[part : part + (1 << 13)] + lo
                     for bits in (few, odd):  # the first of the bits alone rule most pairs out
                         apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                         maybe = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
                         x, y = x[maybe], y[maybe]
-                    near = np.flatnonzero((brief[x] == brief[y]).sum(axis=1) >= AGREE)
-                    near = near[~(bands[x[near], : band[lo]] == bands[y[near], : band[lo]]).any(axis=1)]
-                    us.append(rep[x[near]])
-                    vs.append(rep[y[near]])
-        return us, vs
+                    if agree:
+                        near = (brief[x] == brief[y]).sum(axis=1) >= agree
+                        x, y = x[near], y[near]
+                    first = ~(bands[x, : band[lo]] == bands[y, : band[lo]]).any(axis=1)
+                    if first.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[x[first]]), pa.array(rep[y[first]])], ["u", "v"])
 
     held: list[pa.RecordBatch] = []
 
@@ -165,23 +170,22 @@ def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             stop = len(bucket) if last else int(other[-1]) + 1 if len(other) else 0
             held = rows.slice(stop).combine_chunks().to_batches() if stop < len(bucket) else []
             if stop:
-                us, vs = pairs(rows.slice(0, stop))
-                if us:
-                    both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+                yield from pairs(rows.slice(0, stop))
 
+    give_back()
     for b in batches:
         if b.num_rows:
             held.append(b)
         if sum(x.num_rows for x in held) > 10_000:
             yield from flush(False)
     yield from flush(True)
+    give_back()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (u, v, a, b) whose texts a and b are similar enough; a text that comes again right away is not cut up again."""
     powers = Powers()
-    for b in slices(slices(batches, "a", 4 << 20), "b", 4 << 20):
+    for b in slices(slices(batches, "a", 1 << 20), "b", 1 << 20):
         keep, column = [], {}
         for name in ("a", "b"):
             texts = b.column(name).dictionary_encode()
@@ -204,8 +208,8 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 class _Buckets:
     """The candidate search over the representatives of one table."""
 
-    def __init__(self, reps: DataFrame, texts: DataFrame, percent: int) -> None:
-        self.reps, self.texts, self.percent = reps, texts, percent
+    def __init__(self, reps: DataFrame, texts: DataFrame, percent: int, agree: int = AGREE) -> None:
+        self.reps, self.texts, self.percent, self.agree = reps, texts, percent, agree
         self.links = self.texts_of = None
         self.labels = None
 
@@ -253,12 +257,12 @@ class _Buckets:
         cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cell = F.when(F.col("blocks") > 1, F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("bucket"))
         near = cut.select(cell.alias("bucket"), "rep", "n", "component", "band", "block").join(self.reps.select("rep", "brief", "bands"), "rep")
-        percent = self.percent
-        self.add(near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _between(it, percent), "u long, v long").distinct())
+        percent, agree = self.percent, self.agree
+        self.add(near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _between(it, percent, agree), "u long, v long").distinct())
         return self.labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, agree: int = AGREE) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
     Documents are linked if 100 * shared shingles >= percent * all shingles of the two; component_id is the smallest
@@ -266,6 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles and are linked with nothing: each is its own component. Rows that share an id are one document with all
     their links. Rows with a null id take part under no id: they are a component of their own (component_id null) and
     are kept. Other columns are ignored. Equal shingle sets are collapsed ahead of the search, so copies cost one row.
+    Two documents of a common band that agree in under `agree` of 240 coordinates are not compared; with 0 all are,
+    but those whose odd sketches prove them too different.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sketch = kept.mapInArrow(lambda it: _sketch(it, BANDS, ROWS), "doc long, n long, f1 long, f2 long, bands array<long>, brief binary")
@@ -276,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sketch.where("doc is not null").join(sets.withColumnRenamed("rep", "doc"), [*key, "doc"], "left_semi").select(F.col("doc").alias("rep"), "n", "bands", "brief")
     # One row an id and set, however often the row is repeated.
     reps = reps.dropDuplicates(["rep", "bands"])
-    labels = _Buckets(reps, kept.where("doc is not null"), percent).run()
+    labels = _Buckets(reps, kept.where("doc is not null"), percent, agree).run()
 
     # Rows that share an id, or a set, are joined: an edge from each id to its set's representative where they differ.
     row = sketch.select("doc", *key).join(sets, key, "left")
