@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from relspan.llm._store import materialize
-from relspan.llm._text import U64, Powers, Rolling, flat_bytes, mix, slices
+from relspan.llm._store import join_counted, materialize
+from relspan.llm._text import U64, Powers, Rolling, flat_bytes, give_back, mix, slices
 
 GRAM = 128
 #: Members up to which a bucket is refined in one task: 11 MB of extents and 35 MB of hashes.
 BUCKET = 16_000
 #: Extents that are hashed at a time.
-ROWS = 2000
+ROWS = 500
 TOP = U64(2**64 - 1)
 
 
@@ -57,11 +57,10 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, powers: Powers) -> t
     rolling = Rolling(data, powers)
     grams = np.full(n, TOP, dtype=U64)
     grams[: n - GRAM + 1] = mix((rolling.sums[GRAM:] - rolling.sums[: n - GRAM + 1]) * rolling.down[: n - GRAM + 1]) | U64(1)
-    owner_end = np.repeat(off[1:], size)
-    whole = np.arange(n) + length <= owner_end  # strings of the full length start here
-    least = np.where(whole, sliding(grams, window, True), U64(0))
-    most = sliding(least[::-1], window, False)[::-1]
-    at = np.flatnonzero(most == grams)
+    least = sliding(grams, window, True)
+    least[np.arange(n) + length > np.repeat(off[1:], size)] = 0  # no string of the full length starts here
+    at = np.flatnonzero(sliding(least[::-1], window, False)[::-1] == grams)
+    del least
     doc = np.searchsorted(off, at, side="right") - 1
     lo = np.maximum(at - window + 1, off[doc])
     hi = np.minimum(at + length, off[doc + 1])
@@ -216,12 +215,14 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             lo = hi
         held = rows.slice(stop).combine_chunks().to_batches() if stop < len(core) else []
 
+    give_back()
     for b in batches:
         if b.num_rows:
             held.append(b)
         if sum(x.num_rows for x in held) > 4000:
             yield from flush(False)
     yield from flush(True)
+    give_back()
 
 
 def _halve(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -274,11 +275,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     every = materialize(kept.select("k", "text").mapInArrow(find, "k long, a int, g long, c long"), "anchors")
     # Initial buckets of two anchors at least; whether all their extents are equal.
-    buckets = every.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("g", (F.col("lo") < F.col("hi")).alias("mixed"))
-    shared = materialize(every.join(buckets, "g"), "shared")
+    buckets = every.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
+    buckets = materialize(buckets.select("g", "n", (F.col("lo") < F.col("hi")).alias("mixed")), "buckets")
+    total = every.count()
+    shared = materialize(join_counted(every, buckets, ["g"], total).drop("n"), "shared")
     # In mixed buckets: equal extents repeat, and one of them stands for all.
     equal = shared.where("mixed").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "a")).alias("rep"))
-    mixed = shared.where("mixed").join(equal, ["g", "c"])
+    mixed = join_counted(shared.where("mixed"), materialize(equal, "equal"), ["g", "c"], total)
     same = F.col("rep") == F.struct("k", "a")
     marks = mixed.select("k", F.struct("a", "g", (F.col("n") > 1).alias("done"), ((F.col("n") == 1) | same).alias("need")).alias("m"))
     marks = marks.union(shared.where("not mixed").select("k", F.struct("a", "g", F.lit(True).alias("done"), F.lit(False).alias("need")).alias("m")))
