@@ -61,6 +61,13 @@ simple(
     least(greatest(p_retailprice, 950.0), 1200.0) AS k, p_size::VARCHAR || 'x' AS s, trunc(p_retailprice)::BIGINT AS i, power(p_size, 2) AS sq FROM part""",
     lambda t: t("part").select({"p_partkey": "p_partkey", "a": "abs(0 - p_retailprice)", "r": "round(p_retailprice / 7)", "c": "ceil(p_retailprice / 3)", "f": "floor(p_retailprice / 3)", "lo": "int(min(p_size, 20))", "hi": "int(max(p_size, 20))", "k": "clamp(p_retailprice, 950.0, 1200.0)", "s": "str(p_size) ~ 'x'", "i": "int(p_retailprice)", "sq": "p_size ** 2"}).df,
 )
+simple(
+    "select_more_functions",
+    """SELECT p_partkey, ltrim('  ' || p_brand || ' ') AS l, rtrim('  ' || p_brand || ' ') AS r, array_to_string(string_split(p_name, ' '), '+') AS j, (p_size::VARCHAR || '.5')::DOUBLE AS f, p_size > 0 AS b,
+    len(string_split(p_name, ' ')) AS n, len([p_size, 1, 2]) AS three, epoch(now()) > 1700000000 AS late, p_name IS NOT NULL AS there, p_name = '' AS none, -p_retailprice AS neg, -(p_size - 1)::BIGINT AS less FROM part""",
+    lambda t: t("part").select({"p_partkey": "p_partkey", "l": "ltrim('  ' ~ p_brand ~ ' ')", "r": "rtrim('  ' ~ p_brand ~ ' ')", "j": "join(split(p_name, ' '), '+')", "f": "float(p_size ~ '.5')", "b": "bool(p_size)", "n": "count(split(p_name, ' '))", "three": "count([p_size, 1, 2])", "late": "now() > 1700000000", "there": "isset(p_name)", "none": "empty(p_name)", "neg": "-p_retailprice", "less": "-(p_size - 1)"}).df.withColumns({"n": F.col("n").cast("long"), "three": F.col("three").cast("long")}),
+)
+simple("where_unequal", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice <= 150000", lambda t: t("orders").where("o_orderstatus != 'F' and o_totalprice <= 150000").df.select("o_orderkey"))
 simple("select_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders", lambda t: t("orders").select({"o_orderkey": "o_orderkey", "month": "date('Y-m', o_orderdate)"}).df)
 simple("pluck", "SELECT c_name AS value FROM customer", lambda t: t("customer").pluck("c_name").df)
 simple("partition_counts", "SELECT count(*) FILTER (o_totalprice > 100000) AS pass_count, count(*) FILTER (NOT o_totalprice > 100000) AS fail_count, count(*) AS total_count, avg((o_totalprice > 100000)::INT) AS pass_rate FROM orders WHERE o_orderstatus = 'F'", lambda t: t("orders").where("o_orderstatus == 'F'").partition("o_totalprice > 100000").counts())
@@ -152,6 +159,7 @@ _statuses = ["F", "O", "P"]
 simple("pivot_sum", "SELECT o_orderpriority AS _row, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderstatus = '{s}'), 2) AS \"{s}\"" for s in _statuses) + " FROM orders GROUP BY 1", lambda t: t("orders").pivot("o_orderpriority", "o_orderstatus", "o_totalprice", values=_statuses).df.select("_row", *[F.round(s, 2).alias(s) for s in _statuses]))
 simple("pivot_avg", "SELECT o_orderpriority AS _row, " + ", ".join(f"round(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 4) AS \"{s}\"" for s in _statuses) + " FROM orders GROUP BY 1", lambda t: t("orders").pivot("o_orderpriority", "o_orderstatus", "o_totalprice", "avg").df.select("_row", *[F.round(s, 4).alias(s) for s in _statuses]))
 simple("sample", None, lambda t: t("orders").sample(100, seed=42).df)
+simple("sample_counts", "SELECT 100::BIGINT AS n, 100::BIGINT AS keys, 100::BIGINT AS known", lambda t: t("orders").sample(100, seed=42).semi_join(t("orders"), "o_orderkey", "o_orderkey").df.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.count_if(F.col("o_totalprice") > 0).alias("known")))
 
 # Whole pipelines.
 simple(
@@ -168,8 +176,9 @@ simple(
 )
 simple(
     "seven_op",
-    "SELECT n_name AS _group, round(sum(o_totalprice), 2) AS revenue, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 2 DESC LIMIT 10",
-    lambda t: t("orders").where("item['o_orderstatus'] == 'F'").inner_join(t("customer"), "o_custkey", "c_custkey", "owner").inner_join(t("nation"), "owner.c_nationkey", "n_nationkey", "nation").window("running_sum", "o_totalprice", "o_custkey", as_="cumulative").group_by("nation.n_name").aggregate({"revenue": "sum(o_totalprice)", "n": "count(*)"}).order_by("revenue", "desc").limit(10).df.withColumn("revenue", F.round("revenue", 2)),
+    """SELECT n_name AS _group, round(sum(o_totalprice), 2) AS revenue, count(*) AS n, round(max(cumulative), 2) AS most FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS cumulative FROM orders WHERE o_orderstatus = 'F')
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC LIMIT 10""",
+    lambda t: t("orders").where("item['o_orderstatus'] == 'F'").inner_join(t("customer"), "o_custkey", "c_custkey", "owner").inner_join(t("nation"), "owner.c_nationkey", "n_nationkey", "nation").window("running_sum", "o_totalprice", "o_custkey", as_="cumulative").group_by("nation.n_name").aggregate({"revenue": "sum(o_totalprice)", "n": "count(*)", "most": "max(cumulative)"}).order_by("revenue", "desc").limit(10).df.withColumns({c: F.round(c, 2) for c in ("revenue", "most")}),
 )
 
 

@@ -33,11 +33,15 @@ class Input:
         return truth(Typed(self.col, self.type))
 
 
-def _percentile(x: Input) -> Column:
+def _part(x: Input) -> float:
     q = float(x.args[0]) if x.args else 0.5
     if not 0 <= q <= 1:
         raise ValueError(f"percentile takes a part from 0 to 1, not {q}")
-    return F.expr(f"percentile_disc({q}D) WITHIN GROUP (ORDER BY {x.name})")
+    return q
+
+
+def _percentile(x: Input) -> Column:
+    return F.expr(f"percentile_disc({_part(x)}D) WITHIN GROUP (ORDER BY {x.name})")
 
 
 def _string_agg(x: Input) -> Column:
@@ -81,6 +85,25 @@ def _cume_dist(df: DataFrame, key: str, x: Input) -> DataFrame:
     return pairs.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list("p"))).alias("value"))
 
 
+def _from_counts(df: DataFrame, key: str, x: Input, spots: Callable[[Column], list[Column]], value: Callable[[list[Column]], Column]) -> DataFrame:
+    """Values at given places of a group's sorted rows, from the counts of its values: sorted and spilled, never held whole."""
+    counts = df.where(x.col.isNotNull()).groupBy(key, x.name).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key)
+    runs = counts.withColumn("upto", F.sum("n").over(w.orderBy(x.name))).withColumn("all", F.sum("n").over(w))
+    found = [F.min(F.when(F.col("upto") >= at, x.col)) for at in spots(F.col("all"))]
+    return runs.groupBy(key).agg(value(found).alias("value"))
+
+
+@_side
+def _median_of_counts(df: DataFrame, key: str, x: Input) -> DataFrame:
+    return _from_counts(df, key, x, lambda n: [F.floor((n + 1) / 2), F.ceil((n + 1) / 2)], lambda v: (v[0].cast("double") + v[1].cast("double")) / 2)
+
+
+@_side
+def _percentile_of_counts(df: DataFrame, key: str, x: Input) -> DataFrame:
+    return _from_counts(df, key, x, lambda n: [F.greatest(F.ceil(n * _part(x)), F.lit(1))], lambda v: v[0])
+
+
 BUILT_IN: dict[str, Callable] = {
     "count": lambda x: F.count(x.col),
     "sum": lambda x: F.coalesce(F.sum(x.col), F.lit(0)),
@@ -101,6 +124,8 @@ BUILT_IN: dict[str, Callable] = {
     "bool_and": lambda x: F.coalesce(F.bool_and(x.truth), F.lit(True)),
     "bool_or": lambda x: F.coalesce(F.bool_or(x.truth), F.lit(False)),
 }
+#: How large tables are aggregated instead: Spark's own functions hold all values of a group in memory.
+COUNTED: dict[str, Callable] = {"median": _median_of_counts, "percentile": _percentile_of_counts}
 #: Aggregates whose result depends on the order of rows.
 ORDERED = {"mode", "first", "last", "string_agg"}
 

@@ -1,7 +1,8 @@
 """Window functions in the current order of rows.
 
-Without a partition, running functions over a table that is too large for one task are built from range totals: rows
-are split at quantiles of their order, and each range goes on from the totals of those before it.
+Without a partition, functions over a table that is too large for one task are built from range totals: rows are split
+at quantiles of their order, and each range goes on from the totals of those before it. Shifts meet the other row by its
+number, and ranks by value come from the counts of values.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from relspan.functions.semantics import text
 from relspan.plans.frame import Frame, hidden
 
+BY_VALUE, SHIFTS = ("rank", "dense_rank", "cume_dist"), ("lag", "lead", "running_diff")
 RUNNING = ("running_sum", "running_avg", "running_count", "row_number", "ntile")
 
 
@@ -28,6 +30,12 @@ def window(frame: Frame, function: str, field: str, partition_by: str | None, al
     if not part and function in RUNNING and f.large():
         out = _in_ranges(f, function, x, alias, buckets)
         return out.with_(out.df, step)
+    if not part and function in SHIFTS and f.large():
+        out = _shifted(f, function, x, alias, offset)
+        return out.with_(out.df, step)
+    if not part and function in BY_VALUE and f.large():
+        out = _ranked(f, function, x, alias)
+        return out.with_(out.df, step)
     out = FUNCTIONS[function](f, x, part, offset, buckets)
     return f.with_(f.df.withColumn(alias, out), step)
 
@@ -78,12 +86,41 @@ def _in_ranges(f: Frame, function: str, x: Column, alias: str, buckets: int) ->
         total = f.df.count()
         return f.with_(df.withColumn(alias, _bucket(F.col(at) - 1, F.lit(total), buckets)).drop(at, span, value))
     totals = df.groupBy(span).agg(F.sum(value).alias("t"))
-    before = totals.select(span, (F.coalesce(F.sum("t").over(Window.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("__before"))
+    base = hidden()
+    before = totals.select(span, (F.coalesce(F.sum("t").over(Window.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias(base))
     own = F.sum(value).over(Window.partitionBy(span).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn(alias, own).join(before, span).withColumn(alias, F.col(alias) + F.col("__before"))
+    df = df.withColumn(alias, own).join(before, span).withColumn(alias, F.col(alias) + F.col(base))
     if function == "running_avg":
         df = df.withColumn(alias, F.col(alias) / F.col(at))
-    return f.with_(df.drop(at, span, value, "__before"))
+    return f.with_(df.drop(at, span, value, base))
+
+
+def _shifted(f: Frame, function: str, x: Column, alias: str, offset: int) -> Frame:
+    """A value of another row, met by its number."""
+    at, value, there = hidden(), hidden(), hidden()
+    f = f.numbered(at)
+    step = 1 if function == "running_diff" else -offset if function == "lead" else offset
+    df = f.df.withColumn(value, _number(x) if function == "running_diff" else x)
+    others = df.select((F.col(at) + step).alias(there), F.col(value).alias(alias))
+    df = df.drop(alias).join(others, F.col(at) == F.col(there), "left")
+    if function == "running_diff":
+        df = df.withColumn(alias, F.col(value) - F.col(alias))
+    return f.with_(df.drop(at, value, there))
+
+
+def _ranked(f: Frame, function: str, x: Column, alias: str) -> Frame:
+    """Ranks by value, from running totals of the counts of values."""
+    value, n, key, out = hidden(), hidden(), hidden(), hidden()
+    df = f.df.withColumn(value, x)
+    counts = Frame(df.groupBy(F.col(value).alias(key)).agg(F.count("*").alias(n)), ((key, function == "cume_dist"),))
+    if function == "dense_rank":
+        ranks = counts.numbered(out).df
+    else:
+        ranks = _in_ranges(counts, "running_sum", F.col(n), out, 0).df
+        total = F.lit(f.df.count())
+        ranks = ranks.withColumn(out, (F.col(out) - F.col(n) + 1).cast("long") if function == "rank" else F.round(F.col(out) / total, 6))
+    df = df.drop(alias).join(ranks.select(key, out), F.col(value).eqNullSafe(F.col(key))).withColumnRenamed(out, alias)
+    return f.with_(df.drop(value, key))
 
 
 def moving_average(frame: Frame, field: str, size: int, alias: str) -> Frame:
@@ -114,8 +151,9 @@ def moving_average(frame: Frame, field: str, size: int, alias: str) -> Frame:
 def normalize(frame: Frame, field: str, alias: str) -> Frame:
     """From 0 at the least value to 1 at the greatest, to 6 digits; 0 if they are equal. One row of both is joined to all."""
     x = _number(frame.value(field).col)
-    ends = frame.df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    span = F.col("__hi") - F.col("__lo")
-    scaled = F.when(span == 0, F.lit(0.0)).otherwise(F.round((x - F.col("__lo")) / F.when(span != 0, span), 6))
-    df = frame.df.crossJoin(F.broadcast(ends)).withColumn(alias, scaled).drop("__lo", "__hi")
+    lo, hi = hidden(), hidden()
+    ends = frame.df.agg(F.min(x).alias(lo), F.max(x).alias(hi))
+    span = F.col(hi) - F.col(lo)
+    scaled = F.when(span == 0, F.lit(0.0)).otherwise(F.round((x - F.col(lo)) / F.when(span != 0, span), 6))
+    df = frame.df.crossJoin(F.broadcast(ends)).withColumn(alias, scaled).drop(lo, hi)
     return frame.with_(df, f"normalize({field})")

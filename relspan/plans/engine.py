@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relspan.functions.aggregates import AggregateRegistry
 from relspan.plans.frame import Frame, hidden
 from relspan.plans.pipeline import Pipeline
-from relspan.sources.adapters import AdapterRegistry
+from relspan.sources.adapters import PLACE, AdapterRegistry
 
 
 class Engine:
@@ -34,14 +34,14 @@ class Engine:
             raise TypeError(f"no adapter takes {type(x).__name__}")
         df = adapter.to_df(self.spark, x)
         order = []
-        if "__place" in df.columns and order_by is None:
+        if PLACE in df.columns:
             name = hidden()
-            df, order = df.withColumnRenamed("__place", name), [(name, True)]
+            df, order = df.withColumnRenamed(PLACE, name), [(name, True)] if order_by is None else []
         for key in [order_by] if isinstance(order_by, str) else order_by or []:
             name = hidden()
-            df = df.withColumn(name, F.col(key.lstrip("-")))
+            df = df.withColumn(name, F.col(f"`{key.lstrip('-')}`"))
             order.append((name, not key.startswith("-")))
-        return Pipeline(self, Frame(df, tuple(order), (), self.missing))
+        return Pipeline(self, Frame(df, tuple(order), (), self.missing, (df,)))
 
     def pipe(self, x: object, function: Callable[[Pipeline], Pipeline]) -> list:
         return function(self.from_(x)).collect()

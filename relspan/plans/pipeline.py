@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -176,6 +177,10 @@ class Pipeline:
     def materialize(self) -> Materialized:
         return Materialized(self)
 
+    def source(self) -> DataFrame:
+        """The rows that the pipeline began with."""
+        return self.frame.with_(self.frame.trail[0]).visible
+
     def operations(self) -> list[str]:
         return list(self.frame.steps)
 
@@ -238,17 +243,29 @@ class PartitionResult:
 
 
 class Materialized:
-    """A pipeline that has run: its rows are persisted by Spark, and the run is logged."""
+    """A pipeline that has run: its rows are persisted by Spark, and the run is timed."""
 
     def __init__(self, pipeline: Pipeline) -> None:
         self.pipeline = pipeline
         start = time.perf_counter()
         self.data = pipeline.frame.df.persist()
-        rows = self.data.count()
+        self.data.count()
         self.total_duration_ms = (time.perf_counter() - start) * 1000
-        self.execution_log = [{"operation": s.split("(")[0], "signature": s} for s in pipeline.frame.steps] + [{"operation": "run", "signature": "all steps", "output_rows": rows, "duration_ms": self.total_duration_ms}]
         self.rows = Pipeline(pipeline.engine, pipeline.frame.with_(self.data))
 
+    @cached_property
+    def execution_log(self) -> list[dict]:
+        """Of each step: rows in, rows out, and what it adds to the time. Spark runs steps together, so the rows up to
+        each step are counted in a job of its own when the log is first asked for."""
+        frame, log = self.pipeline.frame, []
+        counts = []
+        for df in frame.trail:
+            start = time.perf_counter()
+            counts.append((df.count(), (time.perf_counter() - start) * 1000))
+        for step, (rows_in, before), (rows_out, upto) in zip(frame.steps, counts, counts[1:], strict=False):
+            log.append({"operation": step.split("(")[0], "signature": step, "input_rows": rows_in, "output_rows": rows_out, "duration_ms": max(0.0, upto - before)})
+        return log
+
     def first(self) -> Row | None:
         return self.rows.frame.sorted().first()
 

@@ -9,6 +9,11 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from relspan.plans.frame import hidden
+
+#: The hidden column that holds the places of rows with an order of their own.
+PLACE = hidden()
+
 
 class Adapter(Protocol):
     def supports(self, x: object) -> bool: ...
@@ -17,19 +22,19 @@ class Adapter(Protocol):
 
 
 def rows_to_df(spark: SparkSession, rows: list) -> DataFrame:
-    """Rows of dictionaries (or values, as column `value`) with their places in a last column, `__place`."""
+    """Rows of dictionaries (or values, as column `value`) with their places in a last column, PLACE."""
     if not rows:
-        return spark.createDataFrame([], "value string, __place long")
+        return spark.createDataFrame([], f"value string, {PLACE} long")
     if isinstance(rows[0], Row):
         rows = [r.asDict(recursive=True) for r in rows]
     if not isinstance(rows[0], dict):
         rows = [{"value": v} for v in rows]
     names = list(dict.fromkeys(k for r in rows for k in r))
     known = [n for n in names if any(r.get(n) is not None for r in rows)]
-    plain = [Row(**{n: _struct(r.get(n)) for n in known}, __place=i) for i, r in enumerate(rows)]
+    plain = [Row(**{n: _struct(r.get(n)) for n in known}, **{PLACE: i}) for i, r in enumerate(rows)]
     df = spark.createDataFrame(plain, samplingRatio=1.0)
     # A column of nulls only is one of texts.
-    return df.select(*[F.col(f"`{n}`") if n in known else F.lit(None).cast("string").alias(n) for n in names], "__place")
+    return df.select(*[F.col(f"`{n}`") if n in known else F.lit(None).cast("string").alias(n) for n in names], PLACE)
 
 
 def _struct(v: object) -> object:
@@ -65,7 +70,7 @@ class PandasAdapter:
         return type(x).__module__.startswith("pandas") and type(x).__name__ == "DataFrame"
 
     def to_df(self, spark: SparkSession, x: object) -> DataFrame:
-        return spark.createDataFrame(x).withColumn("__place", F.monotonically_increasing_id()) if len(x) else spark.createDataFrame(x)
+        return spark.createDataFrame(x).withColumn(PLACE, F.monotonically_increasing_id()) if len(x) else spark.createDataFrame(x)
 
 
 class IterableAdapter:

@@ -118,13 +118,47 @@ def test_windows(e):
 
 
 def test_ranges_of_a_large_table_agree(e, monkeypatch):
+    from relspan.operators.windows import FUNCTIONS
     from relspan.plans.frame import Frame
 
-    p = e.from_([{"x": (i * 37) % 101} for i in range(300)])
-    small = [col(p.window(f, "x", as_="w"), "w") for f in ("running_sum", "running_avg", "running_count", "row_number", "ntile")] + [col(p.moving_average("x", 5), "moving_avg")]
+    p = e.from_([{"x": None if i == 7 else (i * 37) % 101, "s": f"é{(i * 53) % 97}", "g": i % 3} for i in range(300)])
+
+    def everything():
+        specs = {"m": "median(x)", "p": "percentile(x, 0.9)", "q": "percentile(x, 0)", "n": "count(*)"}
+        yield [tuple(r) for r in p.group_by("g").aggregate(specs).collect()]
+        yield [tuple(r) for r in p.aggregate(specs).collect()]
+        yield col(p.moving_average("x", 5), "moving_avg")
+        for order in (p, p.order_by("s", "desc"), p.order_by("x")):
+            for f in FUNCTIONS:
+                yield f, [(r["x"], r["s"], r["w"]) for r in order.window(f, "x", as_="w", offset=2).collect()]
+
+    small = list(everything())
     monkeypatch.setattr(Frame, "large", lambda self: True)
-    large = [col(p.window(f, "x", as_="w"), "w") for f in ("running_sum", "running_avg", "running_count", "row_number", "ntile")] + [col(p.moving_average("x", 5), "moving_avg")]
-    assert small == large
+    assert small == list(everything())
+
+
+def test_plans(e, spark):
+    """Plain groups are aggregated by hash, and copies of a key go ahead of the shuffle."""
+    from pyspark.sql import functions as F
+
+    p = e.from_(spark.range(100).withColumn("k", F.col("id") % 7), order_by="id")
+    plan = lambda q: q.df._jdf.queryExecution().executedPlan().toString()
+    for q in (p, p.order_by("id", "desc")):
+        grouped = plan(q.group_by("k").aggregate({"n": "count(*)", "s": "sum(id)"}))
+        assert "HashAggregate" in grouped and "SortAggregate" not in grouped
+    assert "WindowGroupLimit" in plan(p.distinct("k")) and "partial_max_by" in plan(p.reindex("k"))
+
+
+def test_names_like_ours(e, spark):
+    """No column of a user's is taken for one of ours."""
+    names = ["__order", "__place", "__before", "__o1", "__lo", "__c", "__k", "__r", "value", "n", "p"]
+    rows = [dict.fromkeys(names, i % 3) | {"id": i} for i in range(6)]
+    for p in (e.from_(rows), e.from_(spark.createDataFrame(rows), order_by="id")):
+        assert set(p.collect()[0].asDict()) == {*names, "id"}
+        assert col(p.normalize("__lo").window("running_sum", "__before", as_="w"), "w") == [0, 1, 3, 3, 4, 6]
+        assert col(p.reindex("__place"), "__k") == [0, 1, 2] and col(p.distinct("__c"), "id") == [0, 1, 2]
+        assert [r["1"] for r in p.pivot("__r", "__c", "n", "sum").collect()] == [None, 2, None]
+        assert p.group_by("__k").aggregate({"m": "mode(__r)", "c": "cume_dist(n)", "d": "median(p)"}).collect()[2]["m"] == 2
 
 
 def test_shapes(e):
@@ -153,6 +187,9 @@ def test_engine(e, spark, tmp_path):
     assert e.parallel({"a": e.from_(ORDERS), "b": lambda: e.from_(USERS)})["b"][0]["name"] == "Ann"
     m = e.from_(ORDERS).where("id > 1").materialize()
     assert m.first()["id"] == 2 and m.last()["id"] == 5 and not m.is_empty() and m.execution_log[0]["operation"] == "where"
+    log = e.from_(ORDERS).where("id > 1").group_by("status").aggregate({"n": "count(*)"}).limit(2).materialize().execution_log
+    assert [(x["operation"], x["input_rows"], x["output_rows"]) for x in log] == [("where", 5, 4), ("group_by", 4, 4), ("aggregate", 4, 3), ("limit", 3, 2)] and all(x["duration_ms"] >= 0 for x in log)
+    assert e.from_(ORDERS).where("id > 1").source().count() == 5
     assert [s.split("(")[0] for s in e.from_(ORDERS).where("id > 1").limit(2).operations()] == ["where", "limit"]
     for kind in ("csv", "json", "parquet"):
         path = str(tmp_path / f"t.{kind}")
