@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from relspan.plans.frame import hidden
 
@@ -49,10 +50,24 @@ class DataFrameAdapter:
         return x
 
 
+def _version(spark: SparkSession, path: str) -> tuple | None:
+    """What changes when the files under a path do; None if the path is not one file or folder."""
+    if set(path) & set("*?[{"):
+        return None
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(jvm_path):
+        return None
+    status, sizes = fs.getFileStatus(jvm_path), fs.getContentSummary(jvm_path)
+    return fs.makeQualified(jvm_path).toString(), status.getModificationTime(), sizes.getLength(), sizes.getFileCount(), sizes.getDirectoryCount()
+
+
 class PathAdapter:
     """A path to Parquet, CSV, JSON lines or ORC by its ending, else a table's name."""
 
-    READERS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc"}
+    #: Schemas by path and version of the files: Spark takes a job to read one.
+    SCHEMAS: ClassVar[dict[tuple, StructType]] = {}
+    READERS: ClassVar[dict[str, str]] = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc"}
 
     def supports(self, x: object) -> bool:
         return isinstance(x, str)
@@ -61,8 +76,15 @@ class PathAdapter:
         kind = next((k for end, k in self.READERS.items() if x.rstrip("/").endswith(end)), None)
         if kind is None:
             return spark.table(x)
-        reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
-        return reader.format(kind).load(x)
+        reader = (spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read).format(kind)
+        version = _version(spark, x)
+        if version is None:
+            return reader.load(x)
+        if version not in self.SCHEMAS:
+            df = reader.load(x)
+            self.SCHEMAS[version] = df.schema
+            return df
+        return reader.schema(self.SCHEMAS[version]).load(x)
 
 
 class PandasAdapter:

@@ -194,7 +194,10 @@ def test_engine(e, spark, tmp_path):
     for kind in ("csv", "json", "parquet"):
         path = str(tmp_path / f"t.{kind}")
         spark.createDataFrame([(1, "a")], "x long, y string").write.format(kind).option("header", True).save(path)
-        assert e.from_(path, order_by="x").collect()[0]["y"] == "a"
+        for _ in range(2):
+            assert e.from_(path, order_by="x").collect()[0]["y"] == "a"
+        spark.createDataFrame([(7, 8)], "x long, z long").write.format(kind).mode("overwrite").option("header", True).save(path)
+        assert e.from_(path, order_by="x").collect()[0]["z"] == 8
     with pytest.raises(TypeError):
         e.from_(5)
 
