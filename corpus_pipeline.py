@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from relspan.llm import minhash_dedup, packing, quality, suffix_dedup, toxicity
 from relspan.llm._store import materialize
 
+#: Bytes from which a passage is cut where it occurs again: some 50 words of the shortest prose.
+PASSAGE = 256
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -31,9 +34,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that occur again; n_chars is that of what is left."""
+    """Documents without the passages of PASSAGE bytes and more that occur again; n_chars is that of what is left."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_dedup.remove_repeats(docs, texts="text", carry=others)
+    cut = suffix_dedup.remove_repeats(docs, PASSAGE, texts="text", carry=others)
     text = F.col("kept").cast("string")
     columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.`{c}`") for c in others}
     return cut.select(*[columns[c].alias(c) for c in docs.columns])
