@@ -13,15 +13,14 @@ from relspan.llm._text import slices
 from relspan.llm.tokenize import Encoder, Vocabulary, read_ranks, unicode_classes
 
 
-def decode(v: Vocabulary, ids: list[int]) -> bytes:
+def decode(decoded: list[bytes], ids: list[int]) -> bytes:
     """The bytes that the ids stand for."""
-    d = v.decoded
-    return b"".join([d[i] for i in ids])
+    return b"".join([decoded[i] for i in ids])
 
 
 def _shared(df: DataFrame, v: Vocabulary):
-    """The vocabulary and the Unicode classes on all executors: a few MB, fixed by the vocabulary file."""
-    return df.sparkSession.sparkContext.broadcast((v, unicode_classes()))
+    """The vocabulary's fields and the Unicode classes on all executors: a few MB, fixed by the vocabulary file."""
+    return df.sparkSession.sparkContext.broadcast((vars(v), unicode_classes()))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +43,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, data binary) for every row of ids; null ids are empty. Unknown ids are an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path).decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,8 +63,9 @@ def digest_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     shared = _shared(docs, read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, classes = shared.value
-        encoder, names = Encoder(v, classes), [str(i) for i in range(len(v.decoded))]
+        encoder = Encoder(*shared.value)
+        decoded = encoder.v.decoded
+        names = [str(i) for i in range(len(decoded))]
         for b in slices(batches, "text"):
             ids, off = encoder.encode(b.column(1).fill_null("").to_pylist())
             ids, off = ids.tolist(), off.tolist()
@@ -74,7 +74,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                 own = ids[lo:hi]
                 n.append(hi - lo)
                 a.append(hashlib.sha256(",".join([names[i] for i in own]).encode()).hexdigest())
-                d.append(hashlib.sha256(decode(v, own)).hexdigest())
+                d.append(hashlib.sha256(decode(decoded, own)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, type=pa.int64()), pa.array(a), pa.array(d)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text")

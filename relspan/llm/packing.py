@@ -87,7 +87,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     holds block_tokens tokens, one longer document being a block of its own. sequence_id is unique over all tasks.
     Null and repeated ids are carried along; other columns are ignored; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((read_word_merges(tokenizer_path), unicode_classes()))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(read_word_merges(tokenizer_path)), unicode_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)

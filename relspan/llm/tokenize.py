@@ -1,8 +1,11 @@
 """Byte-pair tokenising on numpy arrays: pre-tokens of whole batches, merged in length-bucketed padded matrices.
 
 Texts become code points; a table of Unicode classes and run boundaries give the pre-tokens without a regular
-expression. Distinct pre-tokens of a batch (by 64-bit hash) are put in padded matrices by length; in each round every
-row merges its leftmost pair of least rank, looked up in a hash table, and finished rows leave the matrix.
+expression. Distinct pre-tokens of a batch (found by a hash, told apart by their bytes) are put in padded matrices by
+length; in each round every row merges its leftmost pair of least rank, looked up in a hash table, and finished rows
+leave the matrix. A matrix needs as many rounds as its rows have merges, each over whole rows, so a pre-token of very
+many bytes would take time by the square of its length: beyond Encoder.longest bytes the same merges are taken from a
+heap of pairs by rank and place instead.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import heapq
 import json
 import sys
 import unicodedata
+from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +25,8 @@ from relspan.llm._text import Powers, Rolling
 
 U64 = np.uint64
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens over this many bytes are merged one by one with a heap, in n log n steps.
-LONG = 256
+#: Bytes of the longest pre-tokens in matrices; the ids are the same whatever it is.
+LONG = 1024
 #: Cells of one matrix.
 CELLS = 1 << 18
 
@@ -185,28 +190,48 @@ def merge_matrix(v: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -> tuple[n
     return out, lengths
 
 
+def _finder(v: Vocabulary) -> Callable[[int, int], int]:
+    """look_up for a pair at a time."""
+    slot, mask, empty = v.slots.item, len(v.slots) - 1, 2**64 - 1
+
+    def find(left: int, right: int) -> int:
+        key = left << 32 | right
+        at = (key * 0x9E3779B97F4A7C15 & empty) >> v.shift
+        while (there := slot(at)) != key:
+            if there == empty:
+                return -1
+            at = at + 1 & mask
+        return at
+
+    return find
+
+
 def merge_long(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    """The same merges for one long pre-token, by a heap over a linked list."""
-    n = len(ids)
-    val, nxt, prv = ids.tolist(), [*range(1, n), -1], [*range(-1, n - 1)]
-    s = look_up(v, ids[:-1], ids[1:])
-    heap = [(int(v.ranks[k]), i, val[i], val[i + 1], int(v.merged[k])) for i, k in enumerate(s.tolist()) if k >= 0]
+    """The same merges for one long pre-token, by a heap of (rank, place) over a linked list, in n log n steps."""
+    n, find, rank_of = len(ids), _finder(v), v.ranks.item
+    val, nxt, prv = array("q", ids.tolist()), array("q", [*range(1, n), -1]), array("q", range(-1, n - 1))
+    at = look_up(v, ids[:-1], ids[1:])
+    some = np.flatnonzero(at >= 0)
+    heap = ((v.ranks[at[some]].astype(np.int64) << 32) | some).tolist()
     heapq.heapify(heap)
     while heap:
-        _, i, a, b, out = heapq.heappop(heap)
+        top = heapq.heappop(heap)
+        i = top & 0xFFFFFFFF
         j = nxt[i]
-        if val[i] != a or j < 0 or val[j] != b:
+        if val[i] < 0 or j < 0:
             continue
-        val[i], val[j] = out, -1
+        k = find(val[i], val[j])
+        if k < 0 or rank_of(k) != top >> 32:  # the pair has changed since
+            continue
+        val[i], val[j] = v.merged.item(k), -1
         nxt[i] = nxt[j]
         if nxt[j] >= 0:
             prv[nxt[j]] = i
         for left, right in ((prv[i], i), (i, nxt[i])):
-            if left >= 0 and right >= 0:
-                k = int(look_up(v, np.array([val[left]]), np.array([val[right]]))[0])
-                if k >= 0:
-                    heapq.heappush(heap, (int(v.ranks[k]), left, val[left], val[right], int(v.merged[k])))
-    return np.array([x for x in val if x >= 0], dtype=np.int32)
+            if left >= 0 and right >= 0 and (k := find(val[left], val[right])) >= 0:
+                heapq.heappush(heap, rank_of(k) << 32 | left)
+    out = np.frombuffer(val, dtype=np.int64)
+    return out[out >= 0].astype(np.int32)
 
 
 def pre_tokens(codes: np.ndarray, first: np.ndarray, classes: np.ndarray, joins_space: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -274,11 +299,21 @@ def normalize(text: str) -> str:
     return text.lower()
 
 
+def same_bytes(data: np.ndarray, s: np.ndarray, t: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[s : s + size] is data[t : t + size], for many spans."""
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(s)), size)
+    at = np.arange(ends[-1] if len(ends) else 0) + (s - (ends - size))[owner]
+    out = np.ones(len(s), dtype=bool)
+    out[owner[data[at] != data[at + (t - s)[owner]]]] = False
+    return out
+
+
 class Encoder:
-    """Encodes batches of texts under one vocabulary."""
+    """Encodes batches of texts under one vocabulary, given by its fields, which any worker can unpickle."""
 
-    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray) -> None:
-        self.v, self.classes, self.powers = vocabulary, classes, Powers()
+    def __init__(self, vocabulary: dict, classes: np.ndarray, longest: int = LONG) -> None:
+        self.v, self.classes, self.powers, self.longest = Vocabulary(**vocabulary), classes, Powers(), longest
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the texts' offsets (n + 1)."""
@@ -299,13 +334,34 @@ class Encoder:
             s, e = place[s], place[e]
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        _, index, inverse = np.unique(Rolling(data, self.powers)(s, e), return_index=True, return_inverse=True)
+        index, inverse = self._alike(data, s, e)
         flat, start, count = self._distinct(data, s[index], e[index])
         n = count[inverse]
         ends = np.cumsum(n)
         ids = flat[np.repeat(start[inverse] - (ends - n), n) + np.arange(ends[-1])]
         return ids, np.concatenate([[0], ends])[token_at]
 
+    def _alike(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One span of each distinct content, and which of these each span is like; hashes find them, bytes decide."""
+        _, index, inverse = np.unique(self._hashes(data, s, e), return_index=True, return_inverse=True)
+        size, like = e - s, index[inverse]
+        same = size == size[like]
+        same[same] = same_bytes(data, s[same], s[like[same]], size[same])
+        if same.all():
+            return index, inverse
+        others: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(~same).tolist():  # collisions: as good as none
+            own = data[s[i] : e[i]].tobytes()
+            if own not in others:
+                others[own] = len(index) + len(more)
+                more.append(i)
+            inverse[i] = others[own]
+        return np.concatenate([index, more]), inverse
+
+    def _hashes(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return Rolling(data, self.powers)(s, e)
+
     def _distinct(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the given spans end to end, with the start and count of each."""
         v, size = self.v, e - s
@@ -319,13 +375,13 @@ class Encoder:
             hit = np.flatnonzero(~rest)
             start[hit], count[hit], total = np.arange(len(hit)), 1, len(hit)
             parts.append(got[hit])
-        for i in np.flatnonzero(rest & (size > LONG)).tolist():
+        for i in np.flatnonzero(rest & (size > self.longest)).tolist():
             ids = v.first[data[s[i] : e[i]]]
             ids[-1] = v.final[data[e[i] - 1]]
             ids = merge_long(v, ids)
             start[i], count[i], total = total, len(ids), total + len(ids)
             parts.append(ids)
-        todo = np.flatnonzero(rest & (size <= LONG))
+        todo = np.flatnonzero(rest & (size <= self.longest))
         todo = todo[np.argsort(size[todo], kind="stable")]
         at = 0
         while at < len(todo):
