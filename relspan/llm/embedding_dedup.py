@@ -1,13 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index, verified by cosine in double precision.
 
 Pivots are a bounded sample of the vectors, spread: none is close to another, so a crowded group has one or few of them
-and its members meet in the same lists. A vector is described by its nearest pivots in order; an inverted list per
-pivot holds the vectors that have it among their first few. Two vectors that share one of these pivots
-are candidates, and are verified in the list of the smallest pivot they share, so each pair counts once. A list longer
-than a block is cut into blocks, and each pair of blocks is a task of its own.
-
-By the triangle inequality of angles, the nearest pivot of whatever links with a vector is no further from that vector
-than its own nearest pivot and twice the linking angle; lists of pivots beyond this are left out, which loses nothing.
+and its members meet in the same lists. A vector is described by its NEAREST nearest pivots in order; an inverted list
+per pivot holds the vectors that have it among these. Two vectors are candidates if they share SHARED = 2 of these
+pivots. They meet in the list of the smallest pivot that they share, in its part of those that have the second smallest
+one too; pairs that share a smaller pivot besides belong elsewhere, so each is verified once. The parts of a long list
+are lists of their own; what is longer than a block even so is cut into blocks, each pair of which is a task.
 """
 
 from __future__ import annotations
@@ -18,37 +16,41 @@ from math import ceil, isqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspan.llm._graph import components
-from relspan.llm._store import materialize
+from relspan.llm._store import materialize, small
 
 #: Pivots: about the root of the number of vectors, within these bounds (the most is 4096 vectors).
 PIVOTS_LEAST, PIVOTS_MOST = 64, 4096
-#: Lists that a vector stands in.
-NEAREST = 5
+#: Lists that a vector stands in, and how many of these two candidates share.
+NEAREST, SHARED = 6, 2
 #: Cosine from which a pivot is too close to another.
 SPREAD = 0.8
+#: Vectors from which a list is dealt out by the second pivot.
+LONG = 8000
 #: Vectors in a block of a list; in lists of over MANY blocks these grow, up to BLOCK_MOST vectors.
-BLOCK, MANY, BLOCK_MOST = 2000, 32, 16_000
+BLOCK, MANY, BLOCK_MOST = 4000, 8, 16_000
 #: Pairs of vectors that are compared at a time.
-PAIRS = 1 << 22
+PAIRS = 1 << 20
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision and which rows have one: not null, of the most common length, finite, not zero."""
     n = len(column)
-    width = max((len(x) for x in column.to_pylist() if x is not None), default=0) if not pa.types.is_fixed_size_list(column.type) else column.type.list_size
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(size.max(initial=0))
     out, ok = np.zeros((n, width)), np.zeros(n, dtype=bool)
-    for i, x in enumerate(column.to_pylist()):
-        if x is None or len(x) != width or not width or None in x:
-            continue
-        v = np.asarray(x, dtype=np.float64)
-        top = np.abs(v).max()
-        if np.isfinite(v).all() and top > 0:
-            v = v / top  # keeps the squares in range
-            out[i], ok[i] = v / np.sqrt((v * v).sum()), True
+    rows = np.flatnonzero(size == width) if width else np.zeros(0, dtype=np.int64)
+    if not len(rows):
+        return out, ok
+    v = pc.list_flatten(column.take(pa.array(rows))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)  # null: NaN
+    top = np.abs(v).max(axis=1)
+    good = np.isfinite(v).all(axis=1) & (top > 0)
+    v = v[good] / top[good, None]  # keeps the squares in range
+    out[rows[good]], ok[rows[good]] = v / np.sqrt((v * v).sum(axis=1))[:, None], True
     return out, ok
 
 
@@ -66,27 +68,23 @@ def spread(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[taken[:count]]
 
 
-def _describe(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, nearest: int, limit: float) -> Iterator[pa.RecordBatch]:
-    """Unit vectors and their lists, -1 where one is left out."""
-    reach = 2 * np.arccos(np.clip(limit, -1, 1)) + 1e-6
-    for b in batches:
-        if not b.num_rows:
-            continue
-        width = pivots.shape[1]
-        lengths = np.array([-1 if x is None else len(x) for x in b.column(2).to_pylist()])
-        good = np.flatnonzero(lengths == width)
-        b = b.take(pa.array(good))
-        if not b.num_rows:
-            continue
-        unit, ok = unit_rows(b.column(2))
-        unit = unit[ok]
-        cosine = unit @ pivots.T
-        near = np.argsort(-cosine, axis=1, kind="stable")[:, :nearest].astype(np.int32)
-        angle = np.arccos(np.clip(np.take_along_axis(cosine, near, axis=1), -1, 1))
-        near[angle > angle[:, :1] + reach] = -1
-        rows = pa.array(np.flatnonzero(ok))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([x.tobytes() for x in unit], type=pa.binary()), lists], ["id", "copies", "unit", "near"])
+def _describe(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, nearest: int) -> Iterator[pa.RecordBatch]:
+    """Unit vectors and their nearest pivots, smallest first. A single pivot counts as two, so that all share SHARED."""
+    width = pivots.shape[1]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            b = batch.slice(at, 2000)
+            size = pc.list_value_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+            b = b.take(pa.array(np.flatnonzero(size == width)))
+            if not b.num_rows:
+                continue
+            unit, ok = unit_rows(b.column(2))
+            unit = unit[ok]
+            near = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+            near = np.sort(near, axis=1) if len(pivots) > 1 else np.tile(np.arange(SHARED, dtype=np.int32), (len(unit), 1))
+            rows = pa.array(np.flatnonzero(ok))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([x.tobytes() for x in unit], type=pa.binary()), lists], ["id", "copies", "unit", "near"])
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -104,44 +102,53 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(key: tuple, rows: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """Links within one block, or between two blocks, of one list: each vector's number of linked vectors and a smaller one it reaches."""
-    pivot, a, b = key
+    """Links within one block, or between two blocks, of one list: each vector's number of linked vectors and a smaller one it reaches.
+
+    A list has a first pivot, and a second one or -1: then each further pivot of its vectors has a part of the list.
+    """
+    pivot, second, a, b = key
     rows = rows.sort_values("id", kind="stable")
     ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
     unit = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), -1)
     near = np.stack(rows["near"].to_numpy())
     side = rows["block"].to_numpy() == b
-    left = np.flatnonzero(~side) if a != b else np.arange(len(rows))
-    right = np.flatnonzero(side)
-    # Pivots that both have; the pair counts in the list of the smallest one only, so most rows of a pair need no look.
-    before = ((near >= 0) & (near < pivot)).any(axis=1)
     links, root = np.zeros(len(rows)), np.arange(len(rows))
-    step = max(1, PAIRS // max(1, len(right)))
-    for at in range(0, len(left), step):
-        some = left[at : at + step]
-        hits = unit[some] @ unit[right].T >= limit
-        if a == b:
-            hits &= some[:, None] < right
-        x, y = np.flatnonzero(before[some]), np.flatnonzero(before[right])
-        i, j = np.nonzero(hits[np.ix_(x, y)])
-        for part in range(0, len(i), PAIRS // 16):
-            u, v = x[i[part : part + PAIRS // 16]], y[j[part : part + PAIRS // 16]]
-            nu, nv = near[some[u]], near[right[v]]
-            both = ((nu[:, :, None] == nv[:, None, :]) & (nu >= 0)[:, :, None]).any(axis=2)
-            bad = (both & (nu < pivot)).any(axis=1)
-            hits[u[bad], v[bad]] = False
-        if not hits.any():
+    for q in [second] if second >= 0 else np.unique(near[near > pivot]).tolist():
+        member = np.flatnonzero((near == q).any(axis=1))
+        at_left, at_right = (np.ones(len(member), dtype=bool),) * 2 if a == b else (~side[member], side[member])
+        left, right = member[at_left], member[at_right]
+        if not len(left) or not len(right) or a == b and len(left) == 1:
             continue
-        number = hits.astype(np.float64)
-        links[some] += number @ copies[right]
-        links[right] += copies[some] @ number
-        while True:  # an edge a row and round is enough for the components
-            apart = hits & (root[some][:, None] != root[right])
-            x = np.flatnonzero(apart.any(axis=1))
+        # Other shared pivots ahead of q: with one of these a pair's two smallest ones are not these two.
+        before = np.unique(near[member])
+        before = before[(before < q) & (before != pivot)]
+        has = np.zeros((len(member), len(before)), dtype=np.float32)
+        r, c = np.nonzero(np.isin(near[member], before))
+        has[r, np.searchsorted(before, near[member[r], c])] = 1
+        has_left, has_right = has[at_left], has[at_right]
+        step = max(1, PAIRS // len(right))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            hits = has_left[at : at + step] @ has_right.T == 0
+            if a == b:
+                hits &= some[:, None] < right
+            x = np.flatnonzero(hits.any(axis=1))
             if not len(x):
-                break
-            y = apart[x].argmax(axis=1)
-            root = _roots(len(rows), np.concatenate([np.arange(len(rows)), some[x]]), np.concatenate([root, right[y]]))
+                continue
+            some, hits = some[x], hits[x]
+            hits &= unit[some] @ unit[right].T >= limit
+            if not hits.any():
+                continue
+            number = hits.astype(np.float64)
+            links[some] += number @ copies[right]
+            links[right] += copies[some] @ number
+            while True:  # an edge a row and round is enough for the components
+                apart = hits & (root[some][:, None] != root[right])
+                x = np.flatnonzero(apart.any(axis=1))
+                if not len(x):
+                    break
+                y = apart[x].argmax(axis=1)
+                root = _roots(len(rows), np.concatenate([np.arange(len(rows)), some[x]]), np.concatenate([root, right[y]]))
     hit = links > 0
     return pd.DataFrame({"id": ids[hit], "links": links[hit].astype(np.int64), "root": ids[root[hit]]})
 
@@ -168,25 +175,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return vectors.select(F.col(id_col).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     lengths = [len(r.v) for r in sample]
     width = max(set(lengths), key=lambda x: (lengths.count(x), x))
-    pivots, _ = unit_rows(pa.array([r.v for r in sample if len(r.v) == width]))
+    pivots, _ = unit_rows(pa.array([r.v for r in sample if len(r.v) == width], pa.list_(pa.float64())))
     shared = spark.sparkContext.broadcast(spread(pivots, count))
-    near = classes.select("id", "copies", "v").mapInArrow(lambda it: _describe(it, shared.value, NEAREST, limit), "id long, copies long, unit binary, near array<int>")
+    near = classes.select("id", "copies", "v").mapInArrow(lambda it: _describe(it, shared.value, NEAREST), "id long, copies long, unit binary, near array<int>")
     near = materialize(near, "near")
 
-    lists = near.select("id", F.explode("near").alias("pivot")).where("pivot >= 0").groupBy("pivot").count().collect()  # a row a pivot
-    parts = {r["pivot"]: max(min(ceil(r["count"] / BLOCK), MANY), ceil(r["count"] / BLOCK_MOST)) for r in lists}
-    blocks = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if len(lists) <= 512 else None
-    listed = near.select("*", F.explode("near").alias("pivot")).where("pivot >= 0")
-    if blocks is not None:
-        listed = listed.withColumn("blocks", blocks[F.col("pivot")])
-    else:
-        table = spark.createDataFrame(list(parts.items()), "pivot int, blocks int")
-        listed = listed.join(F.broadcast(table), "pivot")  # at most PIVOTS_MOST rows
+    # Lists by pivot, long ones by pairs of pivots; the numbers of vectors are a row a pivot, or a pair that occurs.
+    listed = near.select("*", F.explode("near").alias("pivot"))
+    long = listed.groupBy("pivot").count().where(F.col("count") > LONG).select("pivot", F.lit(True).alias("long"))
+    listed = listed.join(F.broadcast(long), "pivot", "left")  # at most PIVOTS_MOST rows
+    seconds = F.when(F.col("long"), F.filter("near", lambda x: x > F.col("pivot"))).otherwise(F.array(F.lit(-1)))
+    listed = listed.select("id", "copies", "unit", "near", "pivot", F.explode(seconds).alias("second"))
+    sizes = materialize(listed.groupBy("pivot", "second").count(), "sizes")
+    blocks = F.greatest(F.least(F.ceil(F.col("count") / BLOCK), F.lit(MANY)), F.ceil(F.col("count") / BLOCK_MOST)).cast("int")
+    listed = listed.join(small(sizes.select("pivot", "second", blocks.alias("blocks"))), ["pivot", "second"])
     listed = listed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = listed.select("id", "copies", "unit", "near", "pivot", "block", other)
+    cells = listed.select("id", "copies", "unit", "near", "pivot", "second", "block", other)
     cells = cells.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other")
-    found = cells.groupBy("pivot", "a", "b").applyInPandas(lambda key, pdf: _compare(key, pdf, limit), "id long, links long, root long")
+    found = cells.groupBy("pivot", "second", "a", "b").applyInPandas(lambda key, pdf: _compare(key, pdf, limit), "id long, links long, root long")
     found = materialize(found, "found")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
