@@ -1,14 +1,14 @@
 """Shards of nearly equal bytes by a k-d tree over document metadata, in DataFrame operations only.
 
 A node of the tree holds documents for a number of shards. It is split along its widest dimension (of the text's
-length, language, source and checksum, each over the range it has in the whole table) at the weighted quantile that
+length, language and source, each over the range it has in the whole table) at the weighted quantile that
 gives each side its part of the bytes. The quantile is found by narrowing: bytes are summed in 4096 equal intervals of
 the dimension, then in the one that holds the quantile, until it is a single position; only sums travel, and a few
 numbers a node reach the driver. All nodes of a level are split together.
 
 Documents of the same position in the chosen dimension are told apart by the checksum of their text and then, only if
-equal texts are more than a small part of a shard, by a hash of the id: equal texts stay together unless they are so
-many that shards could not have equal bytes.
+equal texts have over `whole` of a shard's bytes, by a hash of the id. So a group of equal texts is never divided if
+it has no more than that, and may be if it has more; then shards could not have near equal bytes otherwise.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspan.llm._store import materialize
+from relspan.llm._store import materialize, small
 
-DIMENSIONS = ("size", "lang", "source", "crc")
+DIMENSIONS = ("size", "lang", "source")
 #: A position is DIM_BITS of the dimension, 32 of the checksum and TIE_BITS of the id's hash.
 DIM_BITS, CRC_BITS, TIE_BITS = 14, 32, 14
 STEP_BITS = 12
-#: Equal texts up to this part of a shard's bytes are not divided.
-WHOLE = 0.01
+#: Equal texts of up to this part of a shard's bytes are not divided.
+WHOLE = 0.05
 
 
 def _position(dim: Column) -> Column:
@@ -38,10 +38,12 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source
     kept = docs.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("crc"), name(lang_col).alias("lang"), name(source_col).alias("source"))
     kept = materialize(kept, "documents")
     # Equal texts have one place in the tree: the first language and source that any of them has.
-    same = kept.groupBy("crc", "size").agg(F.min(F.struct("lang", "source")).alias("m")).select("crc", "size", *(_unit(F.col(f"m.{d}")).alias(f"d_{d}") for d in ("lang", "source")))
+    names = F.struct("lang", "source")
+    same = kept.groupBy("crc", "size").agg(F.min(names).alias("m"), F.max(names).alias("most")).where("m < most").select("crc", "size", "m")
+    named = kept.join(small(materialize(same, "same")), ["crc", "size"], "left").select("id", "size", "crc", F.coalesce("m", names).alias("m"))
+    placed = named.select("id", "size", "crc", *(_unit(F.col(f"m.{d}")).alias(f"d_{d}") for d in ("lang", "source")))
     # The length by its logarithm, so that a few very long texts do not flatten it; 48 bits of bytes are the range.
-    placed = kept.drop("lang", "source").join(same, ["crc", "size"]).withColumn("d_size", F.log2("size") / 48.0).withColumn("d_crc", F.col("crc") / float(1 << 32))
-    return placed.withColumn("tie", F.pmod(F.xxhash64("id", "size"), F.lit(1 << TIE_BITS)))
+    return placed.withColumn("d_size", F.log2("size") / 48.0).withColumn("tie", F.pmod(F.xxhash64("id", "size"), F.lit(1 << TIE_BITS)))
 
 
 def _unit(name: Column) -> Column:
@@ -49,13 +51,13 @@ def _unit(name: Column) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(1 << 20)) / float(1 << 20)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", whole: float = WHOLE) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) for every row of docs; law is always "bytes".
 
     size is the text's UTF-8 bytes (null: none) plus 8, text_crc32 the unsigned checksum of these bytes. Shards 0 to
     shards - 1 have nearly equal bytes; slots are gapless from 0 in each shard. Null languages, sources and texts count
     as empty; rows with null or repeated ids are placed like others. An empty table gives no rows. Other columns are
-    ignored. grown_shard is null: no rule of this tree depends on the id and the number of shards alone.
+    ignored. Rows of equal texts share a shard unless they have over `whole` of a shard's bytes (infinity: always). grown_shard is null: no rule of this tree depends on the id and the number of shards alone.
     """
     meta = materialize(_metadata(docs, id_col, text_col, lang_col, source_col), "metadata")
     spans = meta.agg(*[f(f"d_{d}").alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))], F.sum("size").alias("bytes")).first()
@@ -77,7 +79,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         for first, (d, _, _) in chosen.items():
             dim = F.when(F.col("first") == first, F.col(f"d_{d}")).otherwise(dim)
         open_ = nodes.where("count > 1").select("first", "size", _position(dim).alias("at"))
-        cut = _quantiles(open_, {n: goal for n, (_, _, goal) in chosen.items()}, target)
+        cut = _quantiles(open_, {n: goal for n, (_, _, goal) in chosen.items()}, whole * target)
         side, new_first, new_count = F.lit(0), F.col("first"), F.col("count")
         for first, (_, left, _) in chosen.items():
             here = F.col("first") == first
@@ -94,8 +96,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     )
 
 
-def _quantiles(rows: DataFrame, goals: dict[int, float], target: float) -> dict[int, int]:
-    """For each node, the position below which about the given bytes lie."""
+def _quantiles(rows: DataFrame, goals: dict[int, float], undivided: float) -> dict[int, int]:
+    """For each node, the position below which about the given bytes lie; no cut is in a group of up to `undivided` bytes."""
     bits = DIM_BITS + CRC_BITS + TIE_BITS
     state = {n: (0, 0.0) for n in goals}  # the interval's start, and the bytes below it
     settled: dict[int, int] = {}
@@ -116,7 +118,7 @@ def _quantiles(rows: DataFrame, goals: dict[int, float], target: float) -> dict[
         for r in hit:
             n, lo, below = r["first"], *state[r["first"]]
             state[n] = (lo + (r["k"] << bits), below + r["upto"] - r["bytes"])
-            if bits == 0 or bits == TIE_BITS and r["bytes"] <= WHOLE * target:
+            if bits == 0 or bits == TIE_BITS and r["bytes"] <= undivided:
                 # One position, or one group of equal texts that may stay whole: cut at its nearer side.
                 settled[n] = state[n][0] + (1 << bits if goals[n] - state[n][1] > r["bytes"] / 2 else 0)
         found = {r["first"] for r in hit}
