@@ -5,20 +5,23 @@ rule's host and all its subdomains are exactly the keys that start with the rule
 and two such intervals are nested or disjoint. Urls and rules are range-partitioned by key on bounds taken from the
 urls' keys; a rule goes to every range its interval meets. Each range is sorted, rules ahead of urls, and swept once:
 a stack holds the rules whose interval is open, and a url asks only those. Many urls of one host spread over all
-ranges that start with that key.
+ranges that start with that key. Ranges are found by binary search in the bounds, of which there are few.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Urls in one range, and keys looked at for each range bound.
-RANGE_ROWS = 1_000_000
+#: Urls in one range, ranges at most (they are sorted and swept row by row, whatever their size), and keys looked at for
+#: each range bound: about 160,000 keys of hosts at most reach the driver.
+RANGE_ROWS, RANGES_MOST = 1_000_000, 4096
 BOUND_KEYS = 40
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -73,14 +76,17 @@ class Sweep:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch], schema: pa.Schema, default: str) -> Iterator[pa.RecordBatch]:
-    sweep, at = Sweep(), None
+    sweep, at, last = Sweep(), None, None
     for batch in batches:
         c = {n: batch.column(n).to_pylist() for n in ("part", "key", "kind", "host", "path", "action")}
         keep, rules, verdicts = [], [], []
         for i, (part, key, kind, host, path, action) in enumerate(zip(*c.values(), strict=True)):
             if part != at:
                 sweep, at = Sweep(), part
-            sweep.leave(key)
+                last = None
+            if key != last:
+                sweep.leave(key)
+                last = key
             if kind == 0:
                 sweep.open(key, host, path, action)
                 continue
@@ -92,6 +98,29 @@ def _sweep(batches: Iterator[pa.RecordBatch], schema: pa.Schema, default: str) -
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(rules, type=pa.string()), pa.array(verdicts, type=pa.string())], schema=pa.schema([out.schema.field(0), *list(schema)[1:]]))
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, spread, ...) with their range in the place of the latter: rows of a key that is a bound, even several
+    times over, are dealt by `spread` to all ranges that this key starts, so a hot host is in many."""
+    for batch in batches:
+        keys = batch.column(0).dictionary_encode()
+        places = [(bisect_left(bounds, k), bisect_right(bounds, k)) for k in keys.dictionary.to_pylist()]
+        low, high = np.array(places, dtype=np.int64).reshape(-1, 2)[keys.indices.to_numpy(zero_copy_only=False)].T
+        part = low + batch.column(1).to_numpy().astype(np.uint64) % (high - low + 1).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), *batch.columns[2:]], ["key", "part", *batch.schema.names[2:]])
+
+
+def _meets(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, ...) with the ranges that keys which start with this key are in."""
+    for batch in batches:
+        parts = []
+        for k in batch.column(0).to_pylist():
+            low, high = bisect_left(bounds, k), bisect_right(bounds, k)
+            while high < len(bounds) and bounds[high].startswith(k):
+                high += 1
+            parts.append(list(range(low, high + 1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int32())), *batch.columns[1:]], ["key", "parts", *batch.schema.names[1:]])
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict) for every row of pages, repeated rows and null ids included.
 
@@ -106,23 +135,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rule = rules.select(F.translate("host", UPPER, UPPER.lower()).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").where("host <> ''").withColumn("key", host_key(F.col("host")))
 
     n = pages.count()
-    ranges = max(spark.sparkContext.defaultParallelism, ceil(n / RANGE_ROWS)) if n else 1
+    ranges = min(RANGES_MOST, max(spark.sparkContext.defaultParallelism, ceil(n / RANGE_ROWS))) if n else 1
     every = max(1, n // (ranges * BOUND_KEYS))
     keys = sorted(r.key for r in urls.select("key", F.xxhash64("id", "path").alias("h")).where(F.pmod("h", F.lit(every)) == 0).select("key").limit(3 * ranges * BOUND_KEYS).collect())
     bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
-    low = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    # Ranges are numbered by the bounds at or below a key; a url whose key is itself a bound, even several times over,
-    # may go to any range that this key starts, so a hot host is dealt to all of them.
-    first = F.size(F.filter(low, lambda b: b < F.col("key")))
-    after = F.size(F.filter(low, lambda b: b <= F.col("key")))
-    urls = urls.withColumn("part", first + F.pmod(F.xxhash64("id", "path"), after - first + 1).cast("int"))
-    last = F.size(F.filter(low, lambda b: (b < F.col("key")) | b.startswith(F.col("key"))))
-    rule = rule.withColumn("part", F.explode(F.sequence(first, last)))
+    shared = spark.sparkContext.broadcast(bounds)
+    kind = urls.schema["id"].dataType.simpleString()
+    placed = urls.select("key", F.xxhash64("id", "path").alias("spread"), "id", "host", "path")
+    urls = placed.mapInArrow(lambda it: _ranges(it, shared.value), f"key string, part int, id {kind}, host string, path string")
+    rule = rule.select("key", "host", "path", "action").mapInArrow(lambda it: _meets(it, shared.value), "key string, parts array<int>, host string, path string, action string")
+    rule = rule.withColumn("part", F.explode("parts")).drop("parts")
 
     both = urls.select("part", "key", F.lit(1).alias("kind"), "id", "host", "path", F.lit(None).cast("string").alias("action")).unionByName(
         rule.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast(urls.schema["id"].dataType).alias("id"), "host", "path", "action")
     )
     schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
-    kind = urls.schema["id"].dataType.simpleString()
     swept = both.repartition(ranges, "part").sortWithinPartitions("part", "key", "kind").mapInArrow(lambda it: _sweep(it, schema, default), f"id {kind}, host string, path string, rule string, verdict string")
     return swept.withColumnRenamed("id", id_col)
