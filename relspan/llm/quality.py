@@ -190,11 +190,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, mod: int, rest: int):
-    """Trees, on all executors, from measured rows (id, x) and their labels."""
+    """The fields of Trees, on all executors, from measured rows (id, x) and their labels."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.round(F.avg("y")).alias("y"))
     sample = rows.where(~held_out(F.col("id"), mod, rest)).join(own, "id").orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE_ROWS).collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in sample), dtype=np.float32).reshape(len(sample), len(STATISTICS)).astype(np.float64)
-    return rows.sparkSession.sparkContext.broadcast(fit(x, np.array([r.y for r in sample], dtype=np.float64)))
+    return rows.sparkSession.sparkContext.broadcast(vars(fit(x, np.array([r.y for r in sample], dtype=np.float64))))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 4, rest: int = 2, limit: float = 0.7) -> DataFrame:
@@ -210,9 +210,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     trees = _learn(rows, labels, id_col, label_col, mod, rest)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Trees(**trees.value)
         for b in batches:
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float32).reshape(b.num_rows, -1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.value.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(x))], ["id", "score"])
 
     scored = rows.mapInArrow(score, "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), mod, rest).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
@@ -225,11 +226,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     trees = _learn(kept.join(ids, "id", "left_semi").mapInArrow(_measure, "id long, x binary"), labels, id_col, label_col, mod, rest)
 
     def run(texts: pd.Series) -> pd.Series:
-        powers, out = Powers(), [np.zeros(0)]
+        powers, own, out = Powers(), Trees(**trees.value), [np.zeros(0)]
         batch = pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], ["text"])
         for b in slices(iter([batch]), "text"):
             x = statistics(*flat_bytes(b.column(0)), powers).astype(np.float32).astype(np.float64)
-            out.append(trees.value.score(x))
+            out.append(own.score(x))
         return pd.Series(np.concatenate(out))
 
     return docs.where(F.pandas_udf(run, "double")(F.col(text_col).cast("string")) >= limit)

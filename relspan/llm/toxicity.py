@@ -106,14 +106,19 @@ def model(counts: DataFrame) -> tuple[DataFrame, list[float]]:
     return some.select("word", *ratios), rest
 
 
+def _fields(found: pa.Table, rest: list[float]) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
+    """What Models is made from, of a table (word, r0, r1, ...)."""
+    word = found["word"].to_numpy()
+    order = np.argsort(word)
+    return word[order], [found[f"r{i}"].to_numpy().astype(np.float32)[order] for i in range(len(rest))], rest
+
+
 class Models:
     """The log-likelihood ratio of words, toxic to ordinary, for each strictness: of those over their share, and of the rest."""
 
-    def __init__(self, found: pa.Table, rest: list[float]) -> None:
-        word = found["word"].to_numpy()
-        order = np.argsort(word)
-        self.word, self.rest = word[order], rest
-        self.ratio = [found[f"r{i}"].to_numpy().astype(np.float32)[order] for i in range(len(rest))]
+    def __init__(self, word: np.ndarray, ratio: list[np.ndarray], rest: list[float]) -> None:
+        """Words in order, and for each strictness their ratios and that of all others."""
+        self.word, self.ratio, self.rest = word, ratio, rest
 
     def compare(self, data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
         """Each text's mean ratio a word, for each strictness (columns), and its number of words; 0 without words."""
@@ -173,7 +178,7 @@ class Toxicity:
         self.found = materialize(found, "model")
         self.models = None
         if self.found.count() <= BROADCAST_WORDS:
-            self.models = docs.sparkSession.sparkContext.broadcast(Models(self.found.toArrow(), self.rest))
+            self.models = docs.sparkSession.sparkContext.broadcast(_fields(self.found.toArrow(), self.rest))
 
     def _kept(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.names[0]).cast("long").alias("id"), F.col(self.names[1]).cast("string").alias("text"))
@@ -185,9 +190,9 @@ class Toxicity:
             return self._joined(docs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            powers = Powers()
+            powers, own = Powers(), Models(*models.value)
             for b in slices(batches, "text"):
-                ratio, n = models.value.compare(*flat_bytes(b.column(1)), powers)
+                ratio, n = own.compare(*flat_bytes(b.column(1)), powers)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(c) for c in ratio.T)], ["id", "n", *ratios])
 
         return docs.mapInArrow(run, f"id long, n long, {', '.join(f'{r} double' for r in ratios)}")
@@ -229,10 +234,10 @@ class Toxicity:
         models, (i, j), slope, offset = self.models, self.way, float(self.slope), float(self.offset)
 
         def run(texts: pd.Series) -> pd.Series:
-            powers, out = Powers(), [np.zeros(0)]
+            powers, own, out = Powers(), Models(*models.value), [np.zeros(0)]
             batch = pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], ["text"])
             for b in slices(iter([batch]), "text"):
-                ratio, n = models.value.compare(*flat_bytes(b.column(0)), powers)
+                ratio, n = own.compare(*flat_bytes(b.column(0)), powers)
                 out.append(1 / (1 + np.exp(-(ratio[:, i] * n ** (1 - POWER[j]) * slope + offset))))
             return pd.Series(np.concatenate(out))
 
