@@ -60,19 +60,23 @@ def _side(build: Callable[[DataFrame, str, Input], DataFrame]) -> Callable:
 def _mode(df: DataFrame, key: str, x: Input) -> DataFrame:
     """Most frequent; of equally frequent ones the first met."""
     counts = df.where(x.col.isNotNull()).groupBy(key, x.name).agg(F.count("*").alias("n"), F.min(x.place).alias("p"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "p"))
-    return counts.withColumn("r", first).where("r = 1").select(key, x.col.alias("value"))
+    return counts.groupBy(key).agg(F.min_by(x.col, F.struct(-F.col("n"), F.col("p"))).alias("value"))
+
+
+def _from_counts(df: DataFrame, key: str, x: Input, spots: Callable[[Column], list[Column]], value: Callable[[list[Column]], Column]) -> DataFrame:
+    """Values at given places of a group's sorted rows, from the counts of its values: sorted and spilled, never held whole."""
+    counts = df.where(x.col.isNotNull()).groupBy(key, x.name).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key)
+    runs = counts.withColumn("upto", F.sum("n").over(w.orderBy(x.name))).withColumn("all", F.sum("n").over(w))
+    found = [F.min(F.when(F.col("upto") >= at, x.col)) for at in spots(F.col("all"))]
+    return runs.groupBy(key).agg(value(found).alias("value"))
 
 
 @_side
 def _ntile(df: DataFrame, key: str, x: Input) -> DataFrame:
     """Values at the ends of all buckets but the last."""
     b = int(x.args[0]) if x.args else 4
-    w = Window.partitionBy(key)
-    rows = df.where(x.col.isNotNull()).select(key, x.name, F.row_number().over(w.orderBy(x.name)).alias("r"), F.count("*").over(w).alias("n"))
-    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.round(F.lit(i / b) * F.col("n")), F.lit(1.0)).cast("long").alias("at")) for i in range(1, b)]))
-    hit = rows.withColumn("e", ends).where("r = e.at")
-    return hit.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("e.i"), x.col.alias("v")))), lambda s: s["v"]).alias("value"))
+    return _from_counts(df, key, x, lambda n: [F.greatest(F.round(F.lit(i / b) * n), F.lit(1.0)).cast("long") for i in range(1, b)], lambda v: F.array(*v))
 
 
 @_side
@@ -85,15 +89,6 @@ def _cume_dist(df: DataFrame, key: str, x: Input) -> DataFrame:
     return pairs.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list("p"))).alias("value"))
 
 
-def _from_counts(df: DataFrame, key: str, x: Input, spots: Callable[[Column], list[Column]], value: Callable[[list[Column]], Column]) -> DataFrame:
-    """Values at given places of a group's sorted rows, from the counts of its values: sorted and spilled, never held whole."""
-    counts = df.where(x.col.isNotNull()).groupBy(key, x.name).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
-    runs = counts.withColumn("upto", F.sum("n").over(w.orderBy(x.name))).withColumn("all", F.sum("n").over(w))
-    found = [F.min(F.when(F.col("upto") >= at, x.col)) for at in spots(F.col("all"))]
-    return runs.groupBy(key).agg(value(found).alias("value"))
-
-
 @_side
 def _median_of_counts(df: DataFrame, key: str, x: Input) -> DataFrame:
     return _from_counts(df, key, x, lambda n: [F.floor((n + 1) / 2), F.ceil((n + 1) / 2)], lambda v: (v[0].cast("double") + v[1].cast("double")) / 2)
