@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, least: int = 10_000, most: int = 20_000) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, least: int = 1000, most: int = 20_000) -> DataFrame:
     """rows joined with counts(keys, n, ...), of which n is the number of rows of a key; total is that of all rows.
 
     Keys of over `least` rows, and of over a `most`-th of all, are met by a broadcast, so that none lands in one task:

@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         halves = materialize(halves, "halves")
         cores = halves.groupBy("core").agg(F.count("*").alias("members")).where("members > 1")
         outers = halves.groupBy("core", "outer").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("rep"))
-        known = halves.join(cores.select("core"), "core", "left_semi").join(outers, ["core", "outer"])
+        known = join_counted(halves.join(cores.select("core"), "core", "left_semi"), materialize(outers, "outers"), ["core", "outer"], halves.count())
         spans.append(known.where("n > 1").select("k", (F.col("at") - F.col("high")).cast("long").alias("s"), (F.col("at") - F.col("low") + length).cast("long").alias("e")))
         more = known.where((F.col("n") == 1) | (F.col("rep") == F.struct("k", "at"))).where("y - x > 1").select("k", "at", "left", "core", "extent", "x", "y").dropDuplicates(["k", "at", "core"])
         rest = materialize(more, "rest")
