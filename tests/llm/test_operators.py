@@ -178,6 +178,21 @@ def test_shards(spark):
     assert kd_shard.shard_documents(table(spark, []).limit(0)).collect() == []
 
 
+def test_shards_keep_equal_texts(spark):
+    """A group of equal texts is in one shard if it has no more than a part of a shard's bytes."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randrange(20, 80))) for i in range(3000)]
+    rows += [(10_000 + 100 * g + k, f"group {g} " + "of equal texts " * 10) for g in range(40) for k in range(rng.randrange(2, 30))]
+    for whole in (0.2, float("inf")):
+        out = kd_shard.shard_documents(table(spark, rows), whole=whole).collect()
+        share = sum(r["size"] for r in out) / 24
+        groups = {}
+        for r in out:
+            groups.setdefault(r.text_crc32, []).append((r.shard, r["size"]))
+        kept = [g for g in groups.values() if sum(n for _, n in g) <= whole * share]
+        assert len(kept) > 3000 and all(len({s for s, _ in g}) == 1 for g in kept)
+
+
 def test_hamming(spark):
     rng = random.Random(5)
     codes = [(i, rng.getrandbits(63) if i % 3 else 7 << (i % 5)) for i in range(400)] + [(None, 5), (999, None), (3, 1)]
@@ -282,11 +297,226 @@ def test_toxicity_of_a_large_vocabulary(spark, monkeypatch, broadcast):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == {r.doc_id for r in out if not r.predicted}
 
 
-def test_pipeline(spark):
+def test_hamming_edges(spark):
+    """Ids that repeat on both sides, clashing names, an empty table, and fewer rows than k."""
+    df = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (2, 7, 5), (3, 0x111110, 5)], "vec_id long, code long, distance int")
+    got = hamming_topk.search(df, df.where("vec_id = 1"), 1).collect()
+    assert [(r.query_id, r["rank"], r.neighbor_id, r.distance) for r in got] == [(1, 1, 2, 2)]
+    got = hamming_topk.search(df, df.where("vec_id = 2"), 9).collect()
+    assert sorted((r["rank"], r.neighbor_id, r.distance) for r in got) == [(1, 1, 2), (2, 3, 8)]
+    assert hamming_topk.search(df.limit(0), df.limit(0)).collect() == []
+    assert hamming_topk.search(df.where("vec_id = 2"), df.where("vec_id = 2")).collect() == []
+
+
+def test_byte_bpe_of_odd_texts(spark):
+    """Texts whose hashes modulo 2**64 agree, long runs, repeated rows, null ids, clashing names and no rows, as digests."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    one = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    rng = random.Random(10)
+    rows = [*enumerate(ODD), (50, one), (51, one.translate(str.maketrans("ab", "ba"))), (52, "".join(rng.choice("etaoin") for _ in range(200_000))), (53, prose(rng, 50_000)), (1, "a b"), (1, "a b"), (None, "a")]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = {t: library.encode_ordinary(t or "") for _, t in rows}
+    want = Counter((i, len(ids[t]), sha(",".join(map(str, ids[t])).encode()), sha((t or "").encode())) for i, t in rows)
+    assert Counter(map(tuple, byte_bpe.digest_documents(table(spark, rows), path).collect())) == want
+    assert byte_bpe.digest_documents(table(spark, []), path).collect() == []
+
+
+@pytest.mark.parametrize("longest, alike", [(4, False), (4096, False), (64, True)])
+def test_pre_tokens_in_matrices_and_heaps(longest, alike):
+    """Ids do not depend on the length from which a heap is used, nor on hashes: here all may be equal."""
+    import tiktoken
+
+    from relspan.llm import tokenize
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    encoder = tokenize.Encoder(vars(tokenize.read_ranks(path)), tokenize.unicode_classes(), longest)
+    if alike:
+        encoder._hashes = lambda data, s, e: np.zeros(len(s), dtype=np.uint64)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for t, i in tokenize.read_ranks(path).whole.items()}, special_tokens={})
+    rng = random.Random(11)
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("abcdeé漢 ") for _ in range(n)) for n in (10, 500, 3000)] + ["ab" * 700]
+    ids, off = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_packing_of_odd_tables(spark):
+    path = P.path("word_bpe_49k.json")
+    assert packing.pack_documents(table(spark, []), path).collect() == []
+    rng = random.Random(12)
+    rows = [(1, "a b")] * 5 + [(None, None)] * 3 + [(2, prose(rng, 60_000))]
+    out = packing.pack_documents(table(spark, rows), path).collect()
+    assert sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0)
+    assert Counter(r.doc_id for r in out if r.start == 0) == Counter(i for i, _ in rows) and max(r.length for r in out) <= 2048
+
+
+def test_very_long_texts(spark):
+    """A text of some 1 MB next to small ones: the same results as for each alone, by what is known of them."""
+    rng = random.Random(13)
+    long = prose(rng, 150_000, 10**6)
+    rows = [(1, long), (2, long + " more"), (3, "short text of a few words"), (4, None), (5, long[1000:3000])]
+    docs = table(spark, rows)
+    near = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    cut = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, texts=None).collect()}
+    assert cut == {1: (len(long), 1), 2: (len(long), 1), 3: (0, 0), 4: (0, 0), 5: (2000, 1)}
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        assert sorted(r.doc_id for r in score(docs, labels).collect()) == [1, 2, 3, 4, 5]
+    assert sum(r["size"] for r in kd_shard.shard_documents(docs).collect()) == sum(len(t or "") + 8 for _, t in rows)
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 10**6), (2, "http://" + "b." * 10**5 + "com/fr/")], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    assert {(r.page_id, r.rule) for r in url_filter.filter_urls(pages, rules).collect()} == {(1, "org/"), (2, "com/fr/")}
+
+
+def test_minhash_of_all_pairs(spark):
+    """With agree=0 every pair of a bucket that may be similar enough is verified."""
+    rng = random.Random(15)
+    base = prose(rng, 300, 10**6).split()
+    rows = [(i, " ".join(base[: 220 + i] + prose(rng, 80 - i, 10**6).split())) for i in range(40)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    for agree in (0, minhash_dedup.AGREE):
+        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table(spark, rows), agree=agree).collect()} == root
+
+
+def test_quality_by_hand():
+    """The statistics of a text and the walk down the trees, one value at a time."""
+    import math
+
+    from relspan.llm._text import Powers, flat_bytes
+
+    texts = ["Plain words here, and words again.\nWords again!\nWords again!", "", "BUY!!! $$$ www ### a" * 3, "é ü x\n\n x"]
+    import pyarrow as pa
+
+    x = quality.statistics(*flat_bytes(pa.array(texts)), Powers())
+    at = quality.STATISTICS.index
+    for row, t in zip(x, texts, strict=True):
+        b = t.encode()
+        words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), b))
+        lines = [s for s in b.split(b"\n") if s]
+        n, counts = len(words), Counter(words)
+        want = {"upper": sum(65 <= c <= 90 for c in b) / max(len(b), 1), "high": sum(c > 127 for c in b) / max(len(b), 1), "log_bytes": math.log1p(len(b)), "log_words": math.log1p(n)}
+        want |= {"word_length": sum(map(len, words)) / max(n, 1), "distinct_words": len(counts) / max(n, 1), "top_word": max(counts.values(), default=0) / max(n, 1)}
+        pairs = Counter(zip(words, words[1:], strict=False))
+        want |= {"repeated_pairs": sum(c - 1 for c in pairs.values()) / max(n, 1), "log_lines": math.log1p(len(lines)), "repeated_lines": (len(lines) - len(set(lines))) / max(len(lines), 1)}
+        for name, value in want.items():
+            assert row[at(name)] == pytest.approx(value), (t, name)
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(400, 5))
+    y = (data[:, 1] + 0.3 * data[:, 3] > 0.2).astype(float)
+    trees = quality.fit(data, y)
+    for row, score in zip(data[:50], trees.score(data[:50]), strict=True):
+        total = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+    assert ((trees.score(data) >= 0.5) == y).mean() > 0.95
+
+
+def test_toxicity_by_hand(spark):
+    """The ratios of words against the same models made of dictionaries."""
+    import math
+
+    from relspan.llm._text import Powers, flat_bytes
+
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 30, 60) + (f" bad{i % 3} bad{i % 3}" if i % 4 == 0 else "")) for i in range(200)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    learned = toxicity.Toxicity(docs, labels, "doc_id", "text", "toxic", 5, 0, 1)
+    counts = [Counter(), Counter()]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 > 1:
+            counts[i % 4 == 0].update(set(t.split()))
+    total = [sum(c.values()) for c in counts]
+    words = set(counts[0]) | set(counts[1])
+
+    def ratios(z):
+        over = {w: [max(counts[c][w] - e - z * math.sqrt(e) - toxicity.DISCOUNT, 0) for c in (0, 1) for e in [(counts[0][w] + counts[1][w]) * total[c] / sum(total)]] for w in words}
+        spare = [1 - sum(o[c] for o in over.values()) / total[c] for c in (0, 1)]
+        shared = {w: (counts[0][w] + counts[1][w] + 0.01) / (sum(total) + 0.01 * (len(words) + 1)) for w in words}
+        told = {w: math.log((o[1] / total[1] + shared[w] * spare[1]) / (o[0] / total[0] + shared[w] * spare[0])) for w, o in over.items() if any(o)}
+        return told, math.log(spare[1] / spare[0])
+
+    import pyarrow as pa
+
+    models = toxicity.Models(*learned.models.value)
+    got, n = models.compare(*flat_bytes(pa.array([t for _, t in rows])), Powers())
+    for k, z in enumerate(toxicity.STRICT):
+        told, rest = ratios(z)
+        assert told or k
+        for i, t in rows:
+            assert got[i, k] == pytest.approx(sum(told.get(w, rest) for w in t.split()) / n[i], abs=1e-5)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on planted documents: toxic, poor, near-copied and repeated ones; the chain is done again by hand."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    clean = lambda n: ". ".join(prose(rng, 12, 10**5).capitalize() for _ in range(n))
+    passage, copied = clean(9), clean(20)
+    docs, labels = [], []
+    for i in range(400):
+        toxic, poor = i % 8 == 0, i % 8 == 1
+        text = clean(rng.randrange(8, 16)) + (" idiot scum idiot" * 6 if toxic else "") if not poor else "$$$ WIN!!! " * rng.randrange(20, 60)
+        if 300 <= i < 330 and not toxic and not poor:
+            text = clean(6) + " " + passage + " " + clean(6)
+        if 340 <= i < 360 and not toxic and not poor:
+            text = copied + f" x{i}"
+        docs.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(not poor), int(toxic)))
+    docs.append((1000, None, None, None, None))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, read.limit(0), str(tmp_path)).columns == read.columns
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    fine = {i: t for i, t, *_ in docs if i < 1000 and i % 8 > 1}
+    first = min(i for i in fine if 340 <= i < 360)
+    fine = {i: t for i, t in fine.items() if not 340 <= i < 360 or i == first}
+    grams = Counter(t.encode()[k : k + corpus_pipeline.PASSAGE] for t in fine.values() for k in range(len(t.encode()) - corpus_pipeline.PASSAGE + 1))
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {}
+    for i, t in fine.items():
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, dtype=int)
+        for k in range(len(b) - corpus_pipeline.PASSAGE + 1):
+            if grams[b[k : k + corpus_pipeline.PASSAGE]] > 1:
+                gone[k] += 1
+                gone[k + corpus_pipeline.PASSAGE] -= 1
+        left = bytes(np.frombuffer(b, np.uint8)[np.cumsum(gone)[:-1] == 0]).decode()
+        want[i] = [*library.encode(left, add_special_tokens=False).ids, 1]
+    got = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        if r.doc_id < 1000:  # the document without a text may go or stay
+            got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert set(got) == set(want) and len(passage) > corpus_pipeline.PASSAGE
+    for i, pieces in got.items():
+        assert pieces == [(s, n, zlib.crc32(np.array(want[i][s : s + n], dtype="<u4").tobytes())) for s, n, _ in pieces] and sum(n for _, n, _ in pieces) == len(want[i])
+
+
+def test_scratch_needs_a_shared_folder():
+    """On a cluster no folder of the driver's own is written to."""
+    from types import SimpleNamespace
+
+    from relspan.llm._store import shared_root
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns, name
-        assert out.count() <= docs.count()
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
+    assert shared_root(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "file:///shared"), sparkContext=context)) == "file:///shared"
