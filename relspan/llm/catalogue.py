@@ -91,6 +91,19 @@ def oracle_sql() -> dict[str, str]:
                 FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
             )
             SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE place = 1""",
+        "op2_suffix_array_dedup": """
+            WITH d AS (SELECT doc_id, hex(b) AS x, b FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+            starts AS (SELECT doc_id, unnest(range(0, octet_length(b) - 399)) AS i, b FROM d),
+            strings AS (SELECT doc_id, i, md5_number(b[i + 1:i + 400]) AS h FROM starts),
+            again AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+            hits AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS opens FROM strings SEMI JOIN again USING (h)),
+            runs AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM hits),
+            spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM runs GROUP BY doc_id, run),
+            gaps AS (SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS since, lo AS upto FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo) UNION ALL SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id),
+            parts AS (SELECT doc_id, string_agg(substr(x, 2 * since + 1, coalesce(2 * (upto - since), length(x))), '' ORDER BY since) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+            sums AS (SELECT doc_id, sum(hi - lo)::BIGINT AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+            SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+            FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN parts USING (doc_id)""",
         "op5_embedding_near_dedup": """
             WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
             pairs AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -105,4 +118,13 @@ def oracle_sql() -> dict[str, str]:
                 FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0
             ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
             SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10""",
+        "op8_minhash_near_dedup": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+            n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+            shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+            links AS (SELECT u, v FROM shared JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * k >= 75 * (nu.size + nv.size - k)),
+            reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b),
+            low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+            SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN n USING (doc_id)""",
     }
