@@ -32,20 +32,21 @@ def _keyed(frame: Frame, key: str, null_keys: str) -> tuple[Frame, str]:
 
 def _nested(right: Frame, key: str, alias: str, null_keys: str) -> tuple[Frame, str]:
     """The right side as one struct, with its key and order."""
-    f, name = _keyed(right, key, null_keys)
-    order = [(hidden(), up) for _, up in f.order]
-    df = f.df.select(F.col(name), F.struct(*[F.col(f"`{c}`") for c in f.columns]).alias(alias), *[F.col(c).alias(n) for (c, _), (n, _) in zip(f.order, order, strict=True)])
+    name, order = hidden(), [(hidden(), up) for _, up in right.order]
+    value, row = key_of(right, key, null_keys).col.alias(name), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias(alias)
+    df = right.df.select(value, row, *[F.col(c).alias(n) for (c, _), (n, _) in zip(right.order, order, strict=True)])
     return Frame(df, tuple(order)), name
 
 
 def nested_join(left: Frame, right: Frame, left_key: str, right_key: str, alias: str, how: str, null_keys: str = "native") -> Frame:
     """Each left row with each right row of its key, nested under alias; left rows first, then the right side's order."""
-    l, lk = _keyed(left, left_key, null_keys)
+    lk = hidden()
+    kept = [c for c in left.columns if c != alias]
+    mine = left.df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(c) for c, _ in left.order], key_of(left, left_key, null_keys).col.alias(lk))
     r, rk = _nested(right, right_key, alias, null_keys)
-    df = l.df.drop(alias).join(r.df, F.col(lk) == F.col(rk), how).drop(lk, rk)
-    columns = [c for c in left.columns if c != alias] + [alias]
-    df = df.select(*[F.col(f"`{c}`") for c in columns], *[F.col(c) for c, _ in (*l.order, *r.order)])
-    return left.with_(df, f"{how}_join(on={left_key}={right_key}, as={alias})", (*l.order, *r.order))
+    df = mine.join(r.df, F.col(lk) == F.col(rk), how)
+    df = df.select(*[F.col(f"`{c}`") for c in [*kept, alias]], *[F.col(c) for c, _ in (*left.order, *r.order)])
+    return left.with_(df, f"{how}_join(on={left_key}={right_key}, as={alias})", (*left.order, *r.order))
 
 
 def filtering_join(left: Frame, right: Frame, left_key: str, right_key: str, how: str, null_keys: str = "native", step: str | None = None) -> Frame:
