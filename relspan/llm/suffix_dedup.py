@@ -31,6 +31,8 @@ from relspan.llm._text import U64, Powers, Rolling, flat_bytes, give_back, mix,
 GRAM = 128
 #: Members up to which a bucket is refined in one task: 11 MB of extents and 35 MB of hashes.
 BUCKET = 16_000
+#: Members from which equal extents are common: with those of over a 2,000th of all anchors, 2,000 classes at most.
+COMMON = 1000
 #: Extents that are hashed at a time.
 ROWS = 500
 TOP = U64(2**64 - 1)
@@ -281,10 +283,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     shared = materialize(join_counted(every, buckets, ["g"], total).drop("n"), "shared")
     # In mixed buckets: equal extents repeat, and one of them stands for all.
     equal = shared.where("mixed").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "a")).alias("rep"))
-    mixed = join_counted(shared.where("mixed"), materialize(equal, "equal"), ["g", "c"], total)
+    equal = materialize(equal, "equal")
+    common, rare = F.col("n") > max(COMMON, total // 2000), F.col("n") <= max(COMMON, total // 2000)
+    mark = lambda done, need: F.struct("a", "g", done.alias("done"), need.alias("need")).alias("m")
+    mixed, own = shared.where("mixed").drop("mixed"), F.concat_ws(":", "g", "c")
     same = F.col("rep") == F.struct("k", "a")
-    marks = mixed.select("k", F.struct("a", "g", (F.col("n") > 1).alias("done"), ((F.col("n") == 1) | same).alias("need")).alias("m"))
-    marks = marks.union(shared.where("not mixed").select("k", F.struct("a", "g", F.lit(True).alias("done"), F.lit(False).alias("need")).alias("m")))
+    names = [row[0] for row in equal.where(common).select(own).collect()]
+    if names:  # rows of common classes are told by their identifiers, so no task gathers them
+        told = own.isin(names)
+        marks = mixed.where(~told).join(equal.where(rare), ["g", "c"]).select("k", mark(F.col("n") > 1, (F.col("n") == 1) | same))
+        marks = marks.union(mixed.where(told).select("k", mark(F.lit(True), F.lit(False))))
+        marks = marks.union(equal.where(common).select("g", "rep.*").select("k", mark(F.lit(True), F.lit(True))))
+    else:
+        marks = mixed.join(equal, ["g", "c"]).select("k", mark(F.col("n") > 1, (F.col("n") == 1) | same))
+    marks = marks.union(shared.where("not mixed").select("k", mark(F.lit(True), F.lit(False))))
     marks = marks.distinct().groupBy("k").agg(F.collect_list("m").alias("marks"))  # as many as the text has anchors
 
     span = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))

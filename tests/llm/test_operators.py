@@ -42,9 +42,10 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
 
 
-@pytest.mark.parametrize("bucket", [16_000, 4])
+@pytest.mark.parametrize("bucket", [16_000, 4, 1])
 def test_suffix_dedup(spark, monkeypatch, bucket):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "COMMON", min(bucket, 1000))
     rng = random.Random(1)
     passage = prose(rng, 160)
     rows = [(i, prose(rng, rng.randrange(80)) + passage[rng.randrange(90) : rng.randrange(480, 640)] + prose(rng, rng.randrange(80))) for i in range(25)]
